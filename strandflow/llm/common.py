@@ -88,3 +88,8 @@ def ranked(df: DataFrame, keys: list[str], by: Column, name: str, key_bound: int
 
 def schema(spec: str) -> T.StructType:
     return T._parse_datatype_string(spec)
+
+
+def extended(df: DataFrame, spec: str) -> T.StructType:
+    """The schema of ``df`` and the fields of ``spec`` after it."""
+    return T.StructType([*df.schema.fields, *schema(spec).fields])

@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandflow.llm.mixing import OP6_SQL, op6_source_mix
 from strandflow.llm.neardup import op9_near_duplicates
+from strandflow.llm.packing import op2_pack_sequences
+from strandflow.llm.sharding import op1_shard_documents
+from strandflow.llm.toxicity import op10_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_shard_documents": op1_shard_documents,
+    "op2_pack_sequences": op2_pack_sequences,
+    "op6_source_mix": op6_source_mix,
     "op9_near_duplicates": op9_near_duplicates,
+    "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_source_mix": OP6_SQL,
+}
