@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandflow.llm.lzprint import op7_lz_fingerprints
 from strandflow.llm.mixing import OP6_SQL, op6_source_mix
 from strandflow.llm.neardup import op9_near_duplicates
 from strandflow.llm.packing import op2_pack_sequences
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_documents": op1_shard_documents,
     "op2_pack_sequences": op2_pack_sequences,
     "op6_source_mix": op6_source_mix,
+    "op7_lz_fingerprints": op7_lz_fingerprints,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_toxicity": op10_toxicity,
 }
