@@ -67,7 +67,7 @@ def thresholds(narrow: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int
         ends = sums.join(goal, F.col("s").eqNullSafe(F.col("source"))).where("before + earlier <= budget")
         ends = ends.groupBy("source").agg(F.max_by(F.struct("bucket", "n", "first", "last", "earlier"), "bucket").alias("e")).select(F.col("source").alias("s"), "e.*")
         at = written(
-            at.join(ends, F.col("s").eqNullSafe(F.col("source")), "left").select(
+            at.drop("first", "last", "n").join(ends, F.col("s").eqNullSafe(F.col("source")), "left").select(
                 "source", "source_size", "target", "whole", "budget", (F.col("before") + F.coalesce("earlier", F.lit(0))).alias("before"), F.coalesce(F.shiftleft("bucket", shift), "low").alias("low"), "first", "last", F.coalesce("n", F.lit(0)).alias("n")
             ),
             "boundaries",
