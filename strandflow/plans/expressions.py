@@ -65,6 +65,8 @@ def binary(op: str, a: Typed, b: Typed) -> Typed:
         x, y = alike(a, b, op)
         return Typed({"=": x == y, "!=": x != y, "<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op], "bool")
     if "timestamp" in (a.kind, b.kind):
+        if op == "-":
+            a, b = _as_time(a), _as_time(b)
         if op == "-" and a.kind == b.kind:
             return Typed(elapsed(a.col, b.col), "int")
         if op in "+-" and a.kind == "timestamp" and b.kind == "int":
