@@ -3,16 +3,18 @@
 A document is the set of its distinct shingles of ``k`` words (white space parts words, A-Z is
 lower-cased). Documents with equal sets form one class. Each class gets ``REGISTERS`` registers: the
 least value of the set under that register's own hash, kept as its count of leading zeros (6 bits)
-and the 10 bits after the leading one. Four registers, one 64-bit word, make a band key. Classes
-that share a band key are candidates; the collision-corrected likeness of the registers discards
-those far apart, and what is left is compared on the full sets. At a likeness of 0.8 the 32 bands
-miss a pair with a probability of 5e-8, the margin of ``CLOSE`` with about 1e-8.
-
-Within a band key's group, classes are first compared with a few hubs (a linear number of pairs).
-Groups whose members are then still in different components are finished in blocks: members outside
-the group's largest component are compared with all others there, registers only, and what comes
-near is verified. So no link between two components is left out, and no group is ever held, or
-paired with itself, in one task.
+and the 10 bits after the leading one. Four registers make a band key; half of the registers are
+banded. Classes that share a band key are candidates, and those whose registers (folded to a byte
+each, likeness corrected for collisions) are at least ``CLOSE`` alike are near. At a likeness of 0.8
+the 32 bands miss a pair with a probability of 5e-8, ``CLOSE``, five standard deviations away, with
+about 1e-7.
+
+Near classes are gathered to families: in each band key's group, first all members are compared with
+one hub, a linear number of pairs; groups whose other members are then in different families are
+finished in blocks that give a spanning forest. Within a family, all sets are compared with one, and
+those that aren't linked to it with all of the family, again in blocks, by an inverted index of
+the full sets. The links so confirmed give the components. So no link is left out, no group or
+family is held or paired in one task, and what blocks emit is at most linear in their members.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,11 +32,12 @@ from strandflow.llm.common import schema, table, written
 from strandflow.llm.components import components
 
 U = np.uint64
-REGISTERS, MANTISSA, ROWS = 128, 10, 4
-BANDS = REGISTERS // ROWS
-HUBS = 4
-CLOSE = 0.6
-BLOCK = 256
+REGISTERS, MANTISSA, ROWS, BANDS = 256, 10, 4, 32
+CLOSE = 0.67
+#: Members of a block of marks, of a block of sets.
+BLOCK, SETS = 1024, 512
+#: Members of families up to which their ids are broadcast to the texts, 8 MB; beyond, texts are shuffled.
+BROADCAST_ROWS = 500_000
 _rng = np.random.default_rng(20240229)
 _MULTIPLY = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * U(2) + U(1)
 _ADD = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64)
@@ -91,11 +95,16 @@ def compressed(least: np.ndarray) -> np.ndarray:
     return ((zeros << U(MANTISSA)) | tail).astype(np.uint16)
 
 
+def folded(marks: np.ndarray) -> np.ndarray:
+    """A byte of each register."""
+    return ((marks * np.uint16(0x9E37)) >> np.uint16(8)).astype(np.uint8)
+
+
 def likeness(equal: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Jaccard likeness from the number of equal registers, less the collisions to be expected of
-    registers of 2^-MANTISSA resolution for sets of ``n`` and ``m``."""
+    """Jaccard likeness from the number of equal folded registers, less the collisions to be
+    expected for sets of ``n`` and ``m``: of registers of 2^-MANTISSA resolution, and of bytes."""
     ratio = n / np.maximum(m, 1)
-    chance = 0.169919487159739 / 2**MANTISSA * 4 * ratio / (1 + ratio) ** 2
+    chance = 0.169919487159739 / 2**MANTISSA * 4 * ratio / (1 + ratio) ** 2 + 1 / 256
     return np.clip((equal / REGISTERS - chance) / (1 - chance), 0, 1)
 
 
@@ -103,47 +112,45 @@ def _binary(parts: list[bytes]) -> pa.Array:
     return pa.array(parts, pa.binary())
 
 
-def _sketch(k: int, with_sets: bool):
+def _sketch(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
             data, offsets = tb.utf8(batch.column(1))
             for i, j in tb.pieces(offsets):
-                part = data[offsets[i] : offsets[j]]
-                sets, sizes = shingle_sets(part, offsets[i : j + 1] - offsets[i], k)
+                sets, sizes = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
                 at = np.concatenate([[0], np.cumsum(sizes)])
-                if with_sets:
-                    yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), _binary([sets[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)])], ["rep", "items"])
-                    continue
                 has = sizes > 0
-                marks = np.zeros((j - i, REGISTERS), np.uint16)
-                marks[has] = registers(sets, sizes)
+                full = registers(sets, sizes)
                 keys = np.zeros((j - i, 2), U)
                 if has.any():
                     for c, odd in enumerate((U(1), U(0xC2B2AE3D27D4EB4F))):
                         keys[has, c] = tb.mix(np.add.reduceat(tb.mix(sets * odd + U(c)), at[:-1][has]))
+                bands = tb.mix(np.ascontiguousarray(full[:, : BANDS * ROWS]).view(U) + np.arange(BANDS, dtype=np.uint64) * U(0x9E3779B97F4A7C15)).view(np.int64)
+                marks = folded(full)
+                spread = np.cumsum(has) - 1
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), pa.array(sizes), _binary([r.tobytes() for r in keys]), _binary([r.tobytes() if h else None for r, h in zip(marks, has, strict=True)])],
-                    ["doc_id", "n_shingles", "class", "marks"],
-                )
+                    [
+                        ids.slice(i, j - i), pa.array(sizes), _binary([r.tobytes() for r in keys]),
+                        pa.array([bands[x].tolist() if h else None for x, h in zip(spread, has, strict=True)], pa.list_(pa.int64())),
+                        _binary([marks[x].tobytes() if h else None for x, h in zip(spread, has, strict=True)]),
+                    ],
+                    ["doc_id", "n_shingles", "class", "bands", "marks"],
+                )
 
     return run
 
 
-def _verify(percent: int):
+def _items(k: int):
+    """(family, rep, text) to (family, rep, items): the set as bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch.column(2), batch.column(3)
-            keep = []
-            for x, y in zip(left, right, strict=True):
-                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                small, large = min(len(x), len(y)), max(len(x), len(y))
-                same = 0
-                if 100 * small >= percent * large:
-                    found = np.searchsorted(y, x)
-                    same = int((y[np.minimum(found, len(y) - 1)] == x).sum())
-                keep.append(100 * same >= percent * (len(x) + len(y) - same))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            data, offsets = tb.utf8(batch.column(2))
+            for i, j in tb.pieces(offsets):
+                sets, sizes = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
+                at = np.concatenate([[0], np.cumsum(sizes)])
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[:2]), _binary([sets[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)])], ["family", "rep", "items"])
 
     return run
 
@@ -153,36 +160,142 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        x, y = (np.frombuffer(b"".join(v.as_py() for v in batch.column(c)), np.uint16).reshape(-1, REGISTERS) for c in (2, 3))
+        x, y = (np.frombuffer(b"".join(v.as_py() for v in batch.column(c)), np.uint8).reshape(-1, REGISTERS) for c in (2, 3))
         n, m = (batch.column(c).to_numpy().astype(float) for c in (4, 5))
         yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(likeness((x == y).sum(axis=1), n, m) >= CLOSE))
 
 
-def _block(key, found):
-    """Near pairs of different components between one block of small components and another block."""
-    import pandas as pd
+class _Forest:
+    """Union-find over labels; ``join`` tells whether they were apart."""
+
+    def __init__(self) -> None:
+        self.above: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (up := self.above.get(x, x)) != x:
+            self.above[x] = x = self.above.get(up, up)
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.above[max(x, y)] = min(x, y)
+        return x != y
+
 
+def _pairs(out: list[tuple[int, int]]) -> pd.DataFrame:
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def _near_block(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
+    """A spanning forest of the near pairs of different labels between the block's two sides."""
     left, right = found[found["side"] == 0], found[found["side"] == 1]
     if left.empty or right.empty:
-        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-    x, y = (np.frombuffer(b"".join(p["marks"]), np.uint16).reshape(-1, REGISTERS) for p in (left, right))
+        return _pairs([])
+    x, y = (np.frombuffer(b"".join(p["marks"]), np.uint8).reshape(-1, REGISTERS) for p in (left, right))
     a, b, la, lb = left["rep"].to_numpy(), right["rep"].to_numpy(), left["label"].to_numpy(), right["label"].to_numpy()
     na, nb = left["n_shingles"].to_numpy(float), right["n_shingles"].to_numpy(float)
-    out = []
+    forest, out = _Forest(), []
     for i in range(len(a)):
-        close = (likeness((y == x[i]).sum(axis=1), na[i], nb) >= CLOSE) & (lb != la[i])
-        out.append(np.stack([np.minimum(a[i], b[close]), np.maximum(a[i], b[close])]))
-    pairs = np.unique(np.concatenate(out, axis=1), axis=1)
-    return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
+        other = np.flatnonzero(lb != la[i])
+        for j in other[likeness((y[other] == x[i]).sum(axis=1), na[i], nb[other]) >= CLOSE]:
+            if forest.join(int(la[i]), int(lb[j])):
+                out.append((int(a[i]), int(b[j])))
+    return _pairs(out)
+
+
+def _link_block(percent: int):
+    """Links between a block's two sides on full sets, one for each two labels that they join."""
+
+    def run(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
+        left, right = found[found["side"] == 0], found[found["side"] == 1]
+        if left.empty or right.empty:
+            return _pairs([])
+        sets = [np.frombuffer(x, U) for x in right["items"]]
+        size = np.array([len(x) for x in sets])
+        every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+        order = np.argsort(every, kind="stable")
+        owner = owner[order]
+        terms, first = np.unique(every[order], return_index=True)
+        first = np.append(first, len(every))
+        b, lb = right["rep"].to_numpy(), right["label"].to_numpy()
+        forest, out = _Forest(), []
+        for a, la, raw in zip(left["rep"], left["label"], left["items"], strict=True):
+            own = np.frombuffer(raw, U)
+            at = np.minimum(np.searchsorted(terms, own), len(terms) - 1)
+            at = at[terms[at] == own]
+            many = first[at + 1] - first[at]
+            spots = np.repeat(first[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            same = np.bincount(owner[spots], minlength=len(sets))
+            for j in np.flatnonzero((100 * same >= percent * (len(own) + size - same)) & (lb != la)):
+                if forest.join(int(la), int(lb[j])):
+                    out.append((int(a), int(b[j])))
+        return _pairs(out)
+
+    return run
+
+
+def _dealt(rows: DataFrame, group: list[str], carried: list[str], block: int) -> DataFrame:
+    """Deals the members of each group to blocks, so that each that isn't of the group's major label
+    meets each member in one of them. ``rows``: ``group``, ``rep``, ``label``, ``carried``; groups of
+    one label only are left out."""
+    counts = rows.groupBy(*group, "label").agg(F.count(F.lit(1)).alias("n"))
+    groups = counts.groupBy(*group).agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.max("n").alias("n_major"), F.sum("n").alias("n_all"), F.count(F.lit(1)).alias("n_labels"))
+    mixed = groups.where("n_labels > 1").select(*group, "major", F.ceil(F.col("n_major") / block).alias("majors"), F.ceil((F.col("n_all") - F.col("n_major")) / block).alias("minors"))
+    rest = rows.join(mixed, group).withColumn("is_major", F.col("label") == F.col("major"))
+    rest = rest.withColumn("block", F.pmod(F.xxhash64("rep"), F.when(F.col("is_major"), F.col("majors")).otherwise(F.col("minors"))))
+    zero = F.lit(0).cast("long")
+    spot = lambda i, j, major, side: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), F.lit(major).alias("with_major"), F.lit(side).alias("side"))
+    as_minor = F.concat(
+        F.transform(F.sequence(zero, F.col("majors") - 1), lambda j: spot(F.col("block"), j, True, 0)),
+        F.transform(F.sequence(F.col("block"), F.col("minors") - 1), lambda j: spot(F.col("block"), j, False, 0)),
+        F.transform(F.sequence(zero, F.col("block")), lambda i: spot(i, F.col("block"), False, 1)),
+    )
+    as_major = F.transform(F.sequence(zero, F.col("minors") - 1), lambda i: spot(i, F.col("block"), True, 1))
+    kept = [*group, "rep", "label", *carried]
+    return rest.select(*kept, F.explode(F.when(F.col("is_major"), as_major).otherwise(as_minor)).alias("at")).select(*kept, "at.*").groupBy(*group, "i", "j", "with_major")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of representatives that reach the threshold on their full sets."""
-    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep", "left_semi").groupBy("rep").agg(F.min("text").alias("text"))
-    sets = written(texts.mapInArrow(_sketch(k, True), schema("rep long, items binary")), "sets")
-    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("items").alias("y")), "b")
-    return written(both.select("a", "b", "x", "y").mapInArrow(_verify(percent), schema("a long, b long")), "confirmed")
+def _labelled(rows: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the label of ``rep`` as ``name``: itself where it has none."""
+    return rows.join(labels.select(F.col("node").alias("rep"), F.col("label").alias("of")), "rep", "left").withColumn(name, F.coalesce("of", "rep")).drop("of")
+
+
+def _families(classes: DataFrame) -> DataFrame:
+    """``node``, ``label`` for classes that have a near one: components of nearness."""
+    own = classes.select("rep", "marks", "n_shingles")
+    bands = classes.select("rep", F.explode("bands").alias("key"))
+    crowd = bands.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("most")).where("hub <> most").select("key", "hub")
+    members = written(bands.join(crowd, "key").where("rep <> hub"), "members")
+    stars = members.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    sided = lambda side, m, n: own.select(F.col("rep").alias(side), F.col("marks").alias(m), F.col("n_shingles").alias(n))
+    close = stars.join(sided("a", "x", "n"), "a").join(sided("b", "y", "m"), "b").select("a", "b", "x", "y", "n", "m")
+    near = written(close.mapInArrow(_near, schema("a long, b long")), "near")
+    labels = components(near)
+    # members that are apart, though none of them is the hub they have been compared with
+    placed = written(_labelled(members.select("key", "rep"), labels, "label"), "placed")
+    several = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    late = _dealt(placed.join(several, "key").join(own, "rep"), ["key"], ["marks", "n_shingles"], BLOCK).applyInPandas(_near_block, "a long, b long")
+    late = written(late.distinct(), "late")
+    return labels if late.isEmpty() else components(near.union(late))
+
+
+def _links(families: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links on full sets that span the components of every family."""
+    where = families.select(F.col("node").alias("rep"), F.col("label").alias("family"))
+    few = where.count() <= BROADCAST_ROWS
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(F.broadcast(where) if few else where, "rep").groupBy("family", "rep").agg(F.min("text").alias("text"))
+    sets = written(texts.mapInArrow(_items(k), schema("family long, rep long, items binary")), "sets")
+    one = F.col("family") == F.col("rep")
+    counts = where.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / SETS).alias("parts"))
+    dealt = sets.join(counts, "family")
+    parts = F.when(one, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), F.col("parts"))))
+    dealt = dealt.select("family", "rep", F.col("rep").alias("label"), "items", F.when(one, 0).otherwise(1).alias("side"), F.explode(parts).alias("part"))
+    stars = written(dealt.groupBy("family", "part").applyInPandas(_link_block(percent), "a long, b long"), "star_links")
+    linked = stars.select(F.col("b").alias("node"), F.col("a").alias("label"))
+    rows = _labelled(sets, linked, "label")
+    apart = written(rows.where("label <> family").select("family").distinct(), "apart")
+    more = _dealt(rows.join(apart, "family"), ["family"], ["items"], SETS).applyInPandas(_link_block(percent), "a long, b long")
+    return stars.union(written(more, "more_links"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -192,50 +305,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     Documents are linked if 100 x intersection >= ``percent`` x union of their shingle sets. Null
     and empty texts and texts without words have an empty set and no link. Rows without an id are
     returned with their set size, no component and ``kept`` true, and link nothing. Rows that repeat
-    an id must repeat its text. An empty table gives an empty result.
+    an id must repeat its text. An empty table gives an empty result. ``percent`` should be 80 or
+    more: the bands are set for that.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = written(docs.mapInArrow(_sketch(k, False), schema("doc_id long, n_shingles long, class binary, marks binary")), "sketches")
-    named = made.where("doc_id IS NOT NULL")
-    classes = written(
-        named.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("marks").alias("marks")), "classes"
-    )
-    every = F.posexplode(F.array(*[F.substring("marks", 1 + 2 * ROWS * i, 2 * ROWS) for i in range(BANDS)]))
-    bands = classes.select("rep", every.alias("band", "key"))
-    crowd = written(bands.groupBy("band", "key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least <> most").select("band", "key"), "crowds")
-    members = written(bands.join(crowd, ["band", "key"]), "members")
-    turn = F.pmod(F.col("band"), F.lit(HUBS))
-    hubs = members.groupBy("band", "key").agg(F.min_by("rep", F.xxhash64("rep", turn)).alias("hub"))
-    stars = members.join(hubs, ["band", "key"]).where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    own = classes.select("rep", "marks", "n_shingles")
-    sided = lambda side, m, n: own.select(F.col("rep").alias(side), F.col("marks").alias(m), F.col("n_shingles").alias(n))
-    close = stars.join(sided("a", "x", "n"), "a").join(sided("b", "y", "m"), "b").select("a", "b", "x", "y", "n", "m")
-    links = _confirmed(written(close.mapInArrow(_near, schema("a long, b long")), "near"), classes, docs, k, percent)
-    labels = components(links)
-
-    placed = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("band", "key", "rep", F.coalesce("label", "rep").alias("label"))
-    counts = placed.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("n"))
-    groups = counts.groupBy("band", "key").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.max("n").alias("n_major"), F.sum("n").alias("n_all"), F.count(F.lit(1)).alias("n_labels"))
-    open_groups = groups.where("n_labels > 1").select("band", "key", "major", F.ceil(F.col("n_major") / BLOCK).alias("majors"), F.ceil((F.col("n_all") - F.col("n_major")) / BLOCK).alias("minors"))
-    rest = placed.join(open_groups, ["band", "key"]).join(own, "rep")
-    rest = rest.withColumn("is_major", F.col("label") == F.col("major"))
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("rep"), F.when(F.col("is_major"), F.col("majors")).otherwise(F.col("minors"))))
-    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-    spot = lambda i, j, major, side: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), F.lit(major).alias("with_major"), F.lit(side).alias("side"))
-    as_minor = F.concat(
-        F.transform(upto(F.col("majors")), lambda j: spot(F.col("block"), j, True, 0)),
-        F.transform(F.sequence(F.col("block"), F.col("minors") - 1), lambda j: spot(F.col("block"), j, False, 0)),
-        F.transform(F.sequence(F.lit(0).cast("long"), F.col("block")), lambda i: spot(i, F.col("block"), False, 1)),
-    )
-    as_major = F.transform(upto(F.col("minors")), lambda i: spot(i, F.col("block"), True, 1))
-    rest = rest.select("band", "key", "rep", "label", "marks", "n_shingles", F.explode(F.when(F.col("is_major"), as_major).otherwise(as_minor)).alias("at")).select("band", "key", "rep", "label", "marks", "n_shingles", "at.*")
-    late = rest.groupBy("band", "key", "i", "j", "with_major").applyInPandas(_block, "a long, b long").distinct()
-    more = _confirmed(written(late, "late"), classes, docs, k, percent)
-    if not more.isEmpty():
-        labels = components(links.union(more))
-
-    ids = classes.select("class", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("class", F.coalesce("label", "rep").alias("of_class"))
-    out = made.join(ids, "class", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("of_class", "doc_id")).alias("component_id"))
+    made = written(docs.mapInArrow(_sketch(k), schema("doc_id long, n_shingles long, class binary, bands array<long>, marks binary")), "sketches")
+    found = made.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("class").agg(F.min_by(F.struct("doc_id", "n_shingles", "bands", "marks"), "doc_id").alias("c"))
+    classes = written(found.select("class", F.col("c.doc_id").alias("rep"), "c.n_shingles", "c.bands", "c.marks"), "classes")
+    labels = components(_links(_families(classes), docs, k, percent))
+    ids = _labelled(classes.select("class", "rep"), labels, "of_class").select("class", "of_class")
+    out = made.select("doc_id", "n_shingles", "class").join(ids, "class", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("of_class", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
