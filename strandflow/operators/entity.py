@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,16 +66,14 @@ def sample(df: DataFrame, *, entity: str, fraction: float, seed: int = 0) -> Dat
         return df.where(below(F.xxhash64(_quoted(entity))))
     text = isinstance(df.schema[entity].dataType, T.StringType)
 
-    def hashed(parts: Iterator) -> Iterator:
-        import numpy as np
-        import pandas as pd
+    @F.pandas_udf("long")
+    def hash_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import xxhash
 
         for keys in parts:
             raw = (k.encode() if text else int(k).to_bytes(8, "little", signed=True) for k in keys)
             yield pd.Series(np.array([xxhash.xxh64_intdigest(k, seed) for k in raw], dtype=np.uint64).view(np.int64))
 
-    hash_of = F.pandas_udf(hashed, "long", functionType=F.PandasUDFType.SCALAR_ITER)
     keys = df.select(_quoted(entity).alias("sampled")).where("sampled IS NOT NULL").distinct()
     chosen = keys.withColumn("h", hash_of("sampled")).where(below(F.col("h"))).select("sampled")
     return df.join(chosen, _quoted(entity) == F.col("sampled"), "left_semi")

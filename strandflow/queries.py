@@ -14,10 +14,12 @@ from strandflow.session import Engine
 NOW = "2024-01-31T00:00:00Z"
 
 
-def engine(spark: SparkSession, sf_dir: str) -> Engine:
-    """``events`` by user and ``orders`` by customer."""
+def engine(spark: SparkSession, sf_dir: str, script: str = "") -> Engine:
+    """``events`` by user and, where the script names them, ``orders`` by customer."""
     e = Engine(spark, now=NOW)
     e.register("events", spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", "ts", "event_type", "event_id")
+    if "orders" not in script:
+        return e
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     e.register("orders", orders.select("o_custkey", "o_orderdate", "o_orderstatus", "o_totalprice", "o_orderkey"), "o_custkey", "o_orderdate", "o_orderstatus", "o_orderkey")
     return e
@@ -29,7 +31,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def text(name: str, script: str, sql: str | None) -> None:
-    QUERIES[name] = lambda spark, d, s=script: engine(spark, d).query(s)
+    QUERIES[name] = lambda spark, d, s=script: engine(spark, d, s).query(s)
     if sql:
         ORACLE_SQL[name] = sql
 
