@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows of a rank bucket, about; the number of buckets follows the table.
-RANK_ROWS = 4096
+RANK_ROWS = 1024
 #: Buckets for each key of ``ranked`` at most, so the offsets that are broadcast keep a fixed bound.
 RANK_BUCKETS = 2048
 
@@ -75,7 +75,7 @@ def ranked(df: DataFrame, keys: list[str], by: Column, name: str, key_bound: int
     sizes = dealt.groupBy(*at).agg(F.count(F.lit(1)).alias(c["rank_rows"]))
     before = Window.partitionBy(*keys).orderBy(c["rank_bucket"]).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*at, F.coalesce(F.sum(c["rank_rows"]).over(before), F.lit(0)).alias(c["rank_offset"]))
-    if key_bound * buckets <= 200_000:
+    if key_bound * buckets <= 100_000:
         offsets = F.broadcast(offsets)
     own = F.row_number().over(Window.partitionBy(*at).orderBy(c["rank_hash"], by)) - 1
     return (

@@ -34,6 +34,16 @@ def difference(sizes: np.ndarray, shards: int, start: np.ndarray | None = None)
     out = np.zeros(n, np.int64)
     if not n:
         return out, np.zeros(shards) if start is None else np.asarray(start, float)
+    if start is not None:
+        # shards that have more than an even share of what is left get nothing
+        start, active = np.asarray(start, float), np.arange(shards)
+        while (over := start[active] > (start[active].sum() + sizes.sum()) / len(active)).any():
+            active = active[~over]
+        if len(active) < shards:
+            of, loads = difference(sizes, len(active), start[active])
+            final = start.copy()
+            final[active] = loads
+            return active[of], final
     # each partial partition: loads ascending, and for each load the root of the tree of its sizes
     loads: list[np.ndarray] = []
     roots: list[np.ndarray] = []

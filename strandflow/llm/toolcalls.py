@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandflow.llm.common import table, written
+from strandflow.llm.components import components
 from strandflow.llm.mixing import word_count
 
 #: Arguments of each tool: name, kind (string, integer, number, boolean, array, object), whether it must
@@ -56,7 +57,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> DataF
     A call without an id or a result keeps its place with a null result. Of several results of an id
     the one of the least turn, then content, counts. Calls that share an id get the same result and
     an error each. Dependencies on unknown ids are errors and don't order anything; those on calls
-    of a later turn move the call behind them, and calls in a circle get an error. Null conversations
+    of a later turn move the call behind them, in as many rounds as the longest such chain has calls,
+    and calls in a circle, or behind one, get an error. Null conversations
     are one conversation; null turns come first. An empty table gives an empty one.
     """
     c = written(calls.select("conv_id", F.col("turn").cast("long").alias("turn"), "call_id", "name", "arguments", F.coalesce("depends_on", F.array().cast("array<string>")).alias("depends_on")), "calls")
@@ -68,15 +70,18 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> DataF
     # only dependencies on the same or a later turn, and what hangs on them, can change the order
     place = ids.select("call_id", F.struct(F.col("at").alias("turn"), F.lit(0).cast("long").alias("hops")).alias("key"))
     if not edges.where("at >= own").isEmpty():
+        known = edges.where("at IS NOT NULL")
+        groups = components(known.select(F.xxhash64("call_id").alias("a"), F.xxhash64("dep").alias("b")))
+        most = groups.groupBy("label").count().agg(F.max("count")).head()[0] or 1  # calls that hang together
         rounds = 0
-        most = ids.count()
         while True:
-            ahead = edges.where("at IS NOT NULL").join(place.select(F.col("call_id").alias("dep"), "key"), "dep").groupBy("call_id").agg(F.max(F.struct(F.col("key.turn").alias("turn"), (F.col("key.hops") + 1).alias("hops"))).alias("least"))
+            ahead = known.join(place.select(F.col("call_id").alias("dep"), "key"), "dep").groupBy("call_id").agg(F.max(F.struct(F.col("key.turn").alias("turn"), (F.col("key.hops") + 1).alias("hops"))).alias("least"))
             moved = written(place.join(ahead, "call_id", "left").select("call_id", F.greatest("key", "least").alias("key"), F.coalesce(F.col("least") > F.col("key"), F.lit(False)).alias("moved")), "places")
             place, rounds = moved.select("call_id", "key"), rounds + 1
-            if moved.where("moved").isEmpty() or rounds > most:
+            if moved.where("moved").isEmpty() or rounds > 2 * most + 2:
                 break
-        place = moved.select("call_id", "key", F.col("moved").alias("circle"))
+        # a chain has fewer steps than the group has calls
+        place = moved.select("call_id", "key", (F.col("key.hops") > most).alias("circle"))
     else:
         place = place.withColumn("circle", F.lit(False))
     found = results.where("call_id IS NOT NULL").groupBy("call_id").agg(F.min(F.struct(F.col("turn").cast("long").alias("turn"), "content")).alias("result"))
