@@ -71,8 +71,10 @@ class Engine:
         itself after ``timeout`` seconds."""
         import threading
 
-        cancel = lambda: self.spark.interruptTag(tag)
-        self.spark.addTag(tag)
+        context = self.spark.sparkContext
+
+        cancel = lambda: context.cancelJobsWithTag(tag)
+        context.addJobTag(tag)
         timer = threading.Timer(timeout, cancel) if timeout else None
         if timer:
             timer.daemon = True
@@ -82,7 +84,7 @@ class Engine:
         finally:
             if timer:
                 timer.cancel()
-            self.spark.removeTag(tag)
+            context.removeJobTag(tag)
 
     def show(self, text: str, rows: int = 1000) -> str:
         """The first rows as a text table."""
