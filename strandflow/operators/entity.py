@@ -48,7 +48,7 @@ def pick(df: DataFrame, *, entity: str, time: str, seq: str, which: str, candida
         best = found.groupBy(_quoted(entity).alias("of_entity")).agg(choose(row, F.struct(_quoted(time), _quoted(seq))).alias("row"))
         return best.select(*(F.col(f"row.`{c}`").alias(c) for c in df.columns))
     order = Window.partitionBy(_quoted(entity)).orderBy(_quoted(time), _quoted(seq))
-    return found.withColumn("nth_rank", F.row_number().over(order)).where(F.col("nth_rank") == n).drop("nth_rank")
+    return found.withColumn("__nth", F.row_number().over(order)).where(F.col("__nth") == n).drop("__nth")
 
 
 def sample(df: DataFrame, *, entity: str, fraction: float, seed: int = 0) -> DataFrame:
@@ -74,9 +74,9 @@ def sample(df: DataFrame, *, entity: str, fraction: float, seed: int = 0) -> Dat
             raw = (k.encode() if text else int(k).to_bytes(8, "little", signed=True) for k in keys)
             yield pd.Series(np.array([xxhash.xxh64_intdigest(k, seed) for k in raw], dtype=np.uint64).view(np.int64))
 
-    keys = df.select(_quoted(entity).alias("sampled")).where("sampled IS NOT NULL").distinct()
-    chosen = keys.withColumn("h", hash_of("sampled")).where(below(F.col("h"))).select("sampled")
-    return df.join(chosen, _quoted(entity) == F.col("sampled"), "left_semi")
+    keys = df.select(_quoted(entity).alias("__sampled")).where("__sampled IS NOT NULL").distinct()
+    chosen = keys.withColumn("h", hash_of("__sampled")).where(below(F.col("h"))).select("__sampled")
+    return df.join(chosen, _quoted(entity) == F.col("__sampled"), "left_semi")
 
 
 def attribute(

@@ -40,7 +40,7 @@ def _sure(flag: Column) -> Column:
 
 
 def _tracked(df: DataFrame, steps: list[PatternStep], variables: list[str]) -> DataFrame:
-    """Rows for each combination of variable values of their entity: column ``v_<name>`` each.
+    """Rows for each combination of variable values of their entity: column ``__v_<name>`` each.
 
     Where every step binds every variable by one column, an event's track is that column's value.
     Else a variable's values are those of the first step that binds it, and each event is repeated
@@ -48,20 +48,20 @@ def _tracked(df: DataFrame, steps: list[PatternStep], variables: list[str]) -> D
     """
     same = all(s.without is None and set(s.binds) == set(variables) for s in steps)
     if same and all(len({s.binds[v]._jc.toString() for s in steps}) == 1 for v in variables):
-        out = df.withColumns({f"v_{v}": steps[0].binds[v] for v in variables})
-        return out.where(reduce(lambda a, b: a & b, [F.col(f"v_{v}").isNotNull() for v in variables]))
+        out = df.withColumns({f"__v_{v}": steps[0].binds[v] for v in variables})
+        return out.where(reduce(lambda a, b: a & b, [F.col(f"__v_{v}").isNotNull() for v in variables]))
     tracks = None
     for v in variables:
         first = next(i for i, s in enumerate(steps) if v in s.binds)
-        values = df.where(F.col(f"k{first + 1}") & steps[first].binds[v].isNotNull()).select("entity_id", steps[first].binds[v].alias(f"v_{v}")).distinct()
-        tracks = values if tracks is None else tracks.join(values, "entity_id")
-    out = df.join(tracks, "entity_id")
+        values = df.where(F.col(f"__k{first + 1}") & steps[first].binds[v].isNotNull()).select("__entity", steps[first].binds[v].alias(f"__v_{v}")).distinct()
+        tracks = values if tracks is None else tracks.join(values, "__entity")
+    out = df.join(tracks, "__entity")
     checks = {}
     for i, s in enumerate(steps, 1):
-        own = F.col(f"k{i}")
+        own = F.col(f"__k{i}")
         for v, c in s.binds.items():
-            own = own & _sure(c == F.col(f"v_{v}"))
-        checks[f"k{i}"] = own
+            own = own & _sure(c == F.col(f"__v_{v}"))
+        checks[f"__k{i}"] = own
     return out.withColumns(checks)
 
 
@@ -106,16 +106,17 @@ def match(
     limit = max(brackets) if brackets else within
 
     # the events that matter, with what is needed of them
-    flags = {f"k{i}": _sure(s.flag) for i, s in enumerate(steps, 1)} | {f"x{i}": _sure(s.without) for i, s in enumerate(steps, 1) if s.without is not None}
-    rows = df.where(reduce(lambda a, b: a | b, flags.values())).withColumns(flags | {"entity_id": F.col(f"`{entity}`"), "m": F.unix_micros(F.col(f"`{time}`")), "q": F.col(f"`{seq}`")})
+    flags = {f"__k{i}": _sure(s.flag) for i, s in enumerate(steps, 1)} | {f"__x{i}": _sure(s.without) for i, s in enumerate(steps, 1) if s.without is not None}
+    rows = df.where(reduce(lambda a, b: a | b, flags.values())).withColumns(flags | {"__entity": F.col(f"`{entity}`"), "__m": F.unix_micros(F.col(f"`{time}`")), "__q": F.col(f"`{seq}`")})
     if variables:
         rows = _tracked(rows, steps, variables)
     wanted = list(dict.fromkeys(c for s in steps for c in carry.get(s.name, [])))
     keys = ["entity_id", *(f"v_{v}" for v in variables)]
     part = [*keys, *(["session"] if session else [])]
     rows = rows.select(
-        *keys, *([F.col(f"`{session}`").alias("session")] if session else []), "m", "q", *flags,
-        F.struct("m", "q", *(F.col(f"`{c}`").alias(f"c{j}") for j, c in enumerate(wanted))).alias("own"),
+        F.col("__entity").alias("entity_id"), *(F.col(f"__v_{v}").alias(f"v_{v}") for v in variables), *([F.col(f"`{session}`").alias("session")] if session else []),
+        F.col("__m").alias("m"), F.col("__q").alias("q"), *(F.col(c).alias(c[2:]) for c in flags),
+        F.struct(F.col("__m").alias("m"), F.col("__q").alias("q"), *(F.col(f"`{c}`").alias(f"c{j}") for j, c in enumerate(wanted))).alias("own"),
     )
     segments = {}
     for i, s in enumerate(steps, 1):

@@ -78,6 +78,14 @@ def test_no_matches_give_no_rows(spark):
     assert found(spark, [], "MATCH FIRST SEQUENCE(x THEN y) EMIT ALL") == []
 
 
+def test_columns_with_inner_names(spark):
+    s = [("a", 0, "x", 1, 2, "p", 3, 4), ("a", 1, "y", 5, 6, "p", 7, 8), ("a", 2, "y", 5, 6, "q", 7, 8)]
+    columns = "m long, q long, own string, k1 long, entity_id long"
+    got = found(spark, s, "MATCH FIRST SEQUENCE(s: x WHERE own = $v THEN t: y WHERE own = $v) | SELECT entity_id, v, s.m AS a, t.q AS b, t.k1 AS c, s.entity_id AS d", columns)
+    assert got == [("a", "p", 1, 6, 7, 4)]
+    assert found(spark, s, "SAMPLE(fraction: 0.99, seed: 3) | NTH(y, 2) | SELECT m, own", columns) == [(5, "q")]
+
+
 # -- random streams -----------------------------------------------------------------------------
 
 
