@@ -68,7 +68,9 @@ def spark_type(text: str) -> str:
 
 
 def widened(df: DataFrame) -> DataFrame:
-    """Integers as long, other numbers as double, dates as timestamps."""
+    """Integers as long, other numbers as double, dates and times without a zone as instants in UTC.
+    Filters on a time without a zone don't reach the files: read such a column as ``timestamp``."""
+    zone = df.sparkSession.conf.get("spark.sql.session.timeZone")
     out = []
     for f in df.schema.fields:
         c, k = F.col(f"`{f.name}`"), kind(f.dataType)
@@ -77,7 +79,8 @@ def widened(df: DataFrame) -> DataFrame:
         elif k == "float" and not isinstance(f.dataType, T.DoubleType):
             c = c.cast("double")
         elif k == "timestamp" and not isinstance(f.dataType, T.TimestampType):
-            c = c.cast("timestamp")
+            c = c.cast("timestamp_ntz")
+            c = (c if zone in ("UTC", "Etc/UTC", "Z") else F.convert_timezone(F.lit("UTC"), F.lit(zone), c)).cast("timestamp")
         elif k == "other":
             raise TypeProblem(f"column {f.name} has a type that event tables don't take: {f.dataType.simpleString()}")
         out.append(c.alias(f.name))

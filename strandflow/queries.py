@@ -9,18 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandflow.session import Engine
+from strandflow.sources.files import compacted, write_events
 
 #: The end of LAST ranges.
 NOW = "2024-01-31T00:00:00Z"
 
 
+#: Given, so that no file is opened to find the columns, and so that times without a zone are read as
+#: instants, on which the reader can filter.
+EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+ORDERS = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp"
+
+
 def engine(spark: SparkSession, sf_dir: str, script: str = "") -> Engine:
     """``events`` by user and, where the script names them, ``orders`` by customer."""
     e = Engine(spark, now=NOW)
-    e.register("events", spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", "ts", "event_type", "event_id")
+    e.register("events", spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet"), "user_id", "ts", "event_type", "event_id")
     if "orders" not in script:
         return e
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders = spark.read.schema(ORDERS).parquet(f"{sf_dir}/orders.parquet")
     e.register("orders", orders.select("o_custkey", "o_orderdate", "o_orderstatus", "o_totalprice", "o_orderkey"), "o_custkey", "o_orderdate", "o_orderstatus", "o_orderkey")
     return e
 
@@ -102,6 +109,81 @@ def _deleted(spark: SparkSession, d: str) -> DataFrame:
 
 
 built("s19_delete", _deleted, "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS u FROM events WHERE NOT coalesce(user_id IN (1, 2, 3), false) AND NOT coalesce(event_type = 'error' AND value > 10, false) GROUP BY event_type")
+def _scratch(spark: SparkSession) -> str:
+    """A new folder that all executors see; a temporary one where none is configured."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='strandflow-')}"
+    return f"{base}/files-{uuid.uuid4().hex}"
+
+
+_EVENTS_TABLE = "CREATE TABLE t (user_id INT ENTITY KEY, ts TIMESTAMP EVENT TIME, event_type STRING EVENT TYPE, value FLOAT, event_id INT)"
+_EVENTS_STATS = "t | STATS n = COUNT(*), begun = MIN(EPOCH_NANOS(ts)), ids = SUM(event_id), v = SUM(value) GROUP BY event_type | SELECT event_type, n, begun, ids, ROUND(v, 4) AS v"
+_EVENTS_SQL = "SELECT event_type, count(*) AS n, min(epoch_us(ts)) * 1000 AS begun, sum(event_id)::BIGINT AS ids, round(sum(value), 4) AS v FROM events GROUP BY event_type"
+
+
+def _through(format_: str, options: str) -> Build:
+    """Events written as files of a format and read back by INSERT."""
+
+    def build(spark: SparkSession, d: str) -> DataFrame:
+        e, path = Engine(spark, now=NOW), _scratch(spark)
+        df = spark.read.schema(EVENTS).parquet(f"{d}/events.parquet").select("user_id", (F.unix_micros("ts") * 1000).alias("ts"), "event_type", "value", "event_id")
+        (df.write.option("header", "true").option("sep", ";").csv(path) if format_ == "csv" else df.write.json(path))
+        e.execute(_EVENTS_TABLE)
+        e.execute(f"INSERT INTO t FROM '{path}' WITH (format: {format_}{options})")
+        return e.query(_EVENTS_STATS)
+
+    return build
+
+
+built("s08_csv", _through("csv", ", delimiter: ';', header: true"), _EVENTS_SQL)
+built("s09_jsonl", _through("jsonl", ""), _EVENTS_SQL)
+
+
+def _stored(spark: SparkSession, d: str) -> DataFrame:
+    """A table dealt to files by entity, then compacted, read and registered again."""
+    path = _scratch(spark)
+    write_events(engine(spark, d).catalog["events"], path, 4)
+    compacted(spark, path, f"{path}-compact", 1)
+    e = Engine(spark, now=NOW)
+    e.register("t", spark.read.parquet(f"{path}-compact"), "user_id", "ts", "event_type", "event_id")
+    return e.query(_EVENTS_STATS)
+
+
+built("s11_s12_partitioned_and_compacted", _stored, _EVENTS_SQL)
+
+
+def _defined(spark: SparkSession, d: str) -> DataFrame:
+    e = Engine(spark, now=NOW)
+    e.execute("CREATE TABLE gone (u STRING ENTITY KEY, ts TIMESTAMP EVENT TIME, e STRING EVENT TYPE)")
+    e.execute("DROP TABLE gone")
+    e.execute("CREATE TABLE t (u STRING ENTITY KEY, ts TIMESTAMP, e STRING EVENT TYPE, amount INT NOT NULL, tags LIST(STRING))")
+    e.execute("ALTER TABLE t ADD COLUMN plan STRING")
+    return e.query("DESCRIBE t")
+
+
+built(
+    "s14_s15_s16_define", _defined,
+    """SELECT * FROM (VALUES ('u', 'STRING', false, 'entity_key'), ('ts', 'TIMESTAMP', false, 'event_time'), ('e', 'STRING', false, 'event_type'), ('amount', 'INT', false, 'property'),
+       ('tags', 'LIST(STRING)', true, 'property'), ('plan', 'STRING', true, 'property'), ('__seq_id', 'INT', false, 'system'), ('__batch_id', 'INT', false, 'system')) v(name, type, nullable, role)""",
+)
+
+
+def _removed(spark: SparkSession, d: str) -> DataFrame:
+    e = engine(spark, d)
+    e.execute("DELETE FROM events WHERE user_id = 5 AND ts BETWEEN '2024-01-03T00:00:00Z' AND '2024-01-20T00:00:00Z'")
+    return e.query("events | FUNNEL(signup THEN view THEN purchase) WITHIN 2d")
+
+
+built(
+    "s20_deleted_range", _removed,
+    """WITH e0 AS (SELECT * FROM events WHERE NOT (user_id = 5 AND ts BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-20')),
+       a AS (SELECT user_id, ts AS t1, (SELECT min(e.ts) FROM e0 e WHERE e.user_id = s.user_id AND e.event_type = 'view' AND e.ts > s.ts) AS t2 FROM e0 s WHERE event_type = 'signup'),
+       b AS (SELECT *, (SELECT min(e.ts) FROM e0 e WHERE e.user_id = a.user_id AND e.event_type = 'purchase' AND e.ts > a.t2) AS t3 FROM a),
+       k AS (SELECT user_id, max(CASE WHEN t3 - t1 <= INTERVAL 2 DAY THEN 3 WHEN t2 - t1 <= INTERVAL 2 DAY THEN 2 ELSE 1 END) AS k FROM b GROUP BY user_id)
+       SELECT sum((k >= 1)::INT)::BIGINT AS signup, sum((k >= 2)::INT)::BIGINT AS view, sum((k >= 3)::INT)::BIGINT AS purchase FROM k""",
+)
 text(
     "s17_describe", "DESCRIBE events",
     """SELECT * FROM (VALUES ('event_id', 'INT', true, 'property'), ('ts', 'TIMESTAMP', false, 'event_time'), ('user_id', 'INT', false, 'entity_key'), ('event_type', 'STRING', false, 'event_type'),

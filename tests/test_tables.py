@@ -84,6 +84,27 @@ def test_jsonl_and_parquet(spark, engine, tmp_path):
         engine.execute(f"INSERT INTO t FROM '{tmp_path / 'p'}'")
 
 
+def test_times_without_a_zone_are_utc(spark):
+    was = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            df = spark.sql("SELECT 'a' AS u, TIMESTAMP_NTZ '2024-01-01 01:00:00' AS ts, 'x' AS e, DATE '2024-01-02' AS d")
+            e = Engine(spark)
+            e.register("t", df, "u", "ts", "e")
+            assert rows(e.query("t | SELECT EPOCH_NANOS(ts) AS n, EPOCH_NANOS(d) AS d, EPOCH_NANOS(QUANTIZE(ts, 1d)) AS q")) == [(1704070800 * 10**9, 1704153600 * 10**9, 1704067200 * 10**9)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", was)
+
+
+def test_time_ranges_reach_the_files(spark):
+    from strandflow.queries import engine
+
+    plan = engine(spark, "/root/testdata/sf0.001").query("events LAST 7d | STATS n = COUNT(*)")._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "FileScan" in line)
+    assert "GreaterThanOrEqual(ts," in scan and "LessThan" in scan
+
+
 def test_pushdown_and_one_shuffle(spark):
     """Filters and columns reach the scan; a pattern with an aggregate takes one shuffle by entity."""
     e = Engine(spark)
