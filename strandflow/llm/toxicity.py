@@ -35,6 +35,9 @@ STEPS, BATCH, RATE = 260, 32, 0.01
 #: Embeddings learn more slowly than the rest; standard deviations that count as 1, and at most.
 EMBED_RATE, SCALE, MOST = 0.1, 4.0, 3.0
 
+#: Words whose n-grams are made at once.
+_PART = 1 << 14
+
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
 _IN_WORD[128:] = True
@@ -56,9 +59,19 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     counts = np.bincount(row, minlength=len(offsets) - 1)
     if not len(starts):
         return np.empty(0, np.int64), counts, Vocabulary(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
-    hashes = tb.span_hashes(low, starts, ends)
+    hashes = np.empty(len(starts), U)
+    for i, j in tb.pieces(offsets, 1 << 20):
+        a, b = np.searchsorted(starts, (offsets[i], offsets[j]))
+        hashes[a:b] = tb.span_hashes(low[offsets[i] : offsets[j]], starts[a:b] - offsets[i], ends[a:b] - offsets[i])
     distinct, first, ids = np.unique(hashes, return_index=True, return_inverse=True)
     s, n = starts[first], (ends - starts)[first]
+    grams = [_grams(low, s[i : i + _PART], n[i : i + _PART]) for i in range(0, len(s), _PART)]
+    # a word of n characters, n + 2 with its marks, has n three-grams and n - 1 four-grams
+    return ids.astype(np.int32), counts, Vocabulary((distinct >> U(64 - WORD_ROWS.bit_length() + 1)).astype(np.int32), np.concatenate(grams), np.concatenate([[0], np.cumsum(2 * n - 1)]))
+
+
+def _grams(low: np.ndarray, s: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Rows of the n-grams of words that start at ``s`` and have ``n`` bytes, word by word."""
     padded = n + 2  # a mark before and after
     at = np.concatenate([[0], np.cumsum(padded)])
     own = np.repeat(np.arange(len(s)), padded)
@@ -69,13 +82,9 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     for j in range(3):
         three = three * 257 + np.concatenate([chars[j:], np.zeros(j, np.int64)])
     four = three * 257 + np.concatenate([chars[3:], np.zeros(3, np.int64)])
-    pick = lambda x: ((x.astype(U) * U(0x9E3779B97F4A7C15)) >> U(64 - CHAR_ROWS.bit_length() + 1)).astype(np.int64)
+    pick = lambda x: ((x.astype(U) * U(0x9E3779B97F4A7C15)) >> U(64 - CHAR_ROWS.bit_length() + 1)).astype(np.int32)
     # one position gives its three-gram and, if it is long enough, its four-gram
-    both = np.stack([pick(three), pick(four + 7)], axis=1)
-    use = np.stack([left >= 3, left >= 4], axis=1)
-    grams = both[use]
-    per = np.bincount(own, weights=use.sum(axis=1), minlength=len(s)).astype(np.int64)
-    return ids, counts, Vocabulary((distinct >> U(64 - WORD_ROWS.bit_length() + 1)).astype(np.int64), grams, np.concatenate([[0], np.cumsum(per)]))
+    return np.stack([pick(three), pick(four + 7)], axis=1)[np.stack([left >= 3, left >= 4], axis=1)]
 
 
 def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,7 +196,7 @@ class Network:
             g["char"] = (v.grams, np.repeat(d_inputs / per[:, None].astype(np.float32), per, axis=0))
         return g
 
-    def scores(self, data: np.ndarray, offsets: np.ndarray, most: int = 8192) -> np.ndarray:
+    def scores(self, data: np.ndarray, offsets: np.ndarray, most: int = 2048) -> np.ndarray:
         """The score of each row: the highest of its windows, as a probability."""
         ids, counts, v = tokens(data, offsets)
         inputs = self.embedded(v)
@@ -197,17 +206,25 @@ class Network:
         return 1 / (1 + np.exp(-best.astype(np.float64)))
 
 
-def surprise(rows: np.ndarray, docs: np.ndarray, labels: np.ndarray, size: int) -> np.ndarray:
+def surprise(held: Iterator[np.ndarray], labels: np.ndarray, size: int) -> np.ndarray:
     """For each of ``size`` table rows, the number of toxic texts that hold it, less what its number
-    of texts lets expect, in standard deviations. ``rows`` and ``docs``: what text holds what row."""
-    held = np.unique(docs * size + rows)
-    row, doc = held % size, held // size
-    n = np.bincount(row, minlength=size)
-    toxic = np.bincount(row, weights=labels[doc], minlength=size)
+    of texts lets expect, in standard deviations. ``held``: the rows that each text holds."""
+    n, toxic = np.zeros(size), np.zeros(size)
+    for rows, y in zip(held, labels, strict=True):
+        rows = np.unique(rows)
+        n[rows] += 1
+        toxic[rows] += y
     share = labels.mean()
     return ((toxic - n * share) / np.sqrt(np.maximum(n * share * (1 - share), 1e-9))).astype(np.float32)
 
 
+def grams_of(v: Vocabulary, words: np.ndarray) -> np.ndarray:
+    """The n-grams' rows of some words, one after another."""
+    per = v.cuts[words + 1] - v.cuts[words]
+    before = np.cumsum(per) - per
+    return v.grams[np.repeat(v.cuts[words] - before, per) + np.arange(per.sum())]
+
+
 def train(texts: list[str], labels: np.ndarray, steps: int = STEPS, seed: int = 7) -> Network:
     """Adam over ``steps`` batches of as many toxic as clean texts. With one label only, or no
     texts, the network stays as it was drawn, with a bias towards that label (clean if none)."""
@@ -222,22 +239,17 @@ def train(texts: list[str], labels: np.ndarray, steps: int = STEPS, seed: int =
     data, offsets = tb.utf8(pa.array(texts, pa.string()))
     ids, counts, v = tokens(data, offsets)
     first = np.concatenate([[0], np.cumsum(counts)])
-    doc = np.repeat(np.arange(len(texts)), counts)
     if len(ids):
-        seen = np.unique(doc * len(v.word) + ids)
-        word, holder = seen % len(v.word), seen // len(v.word)
-        per = np.diff(v.cuts)[word]
-        spots = np.repeat(v.cuts[:-1][word] - np.concatenate([[0], np.cumsum(per)[:-1]]), per) + np.arange(per.sum())
-        for name, rows, docs, size in (("word", v.word[word], holder, WORD_ROWS), ("char", v.grams[spots], np.repeat(holder, per), CHAR_ROWS)):
-            net.p[name][:, 0] = np.clip(surprise(rows, docs, labels, size) / SCALE, -MOST, MOST)
+        of_text = lambda: (np.unique(ids[a:b]) for a, b in zip(first[:-1], first[1:], strict=True))
+        for name, held, size in (("word", (v.word[w] for w in of_text()), WORD_ROWS), ("char", (grams_of(v, w) for w in of_text()), CHAR_ROWS)):
+            net.p[name][:, 0] = np.clip(surprise(held, labels, size) / SCALE, -MOST, MOST)
     mean, square = ({k: np.zeros_like(x) for k, x in net.p.items()} for _ in range(2))
     for step in range(1, steps + 1):
         chosen = np.concatenate([rng.choice(o, BATCH // 2, replace=len(o) < BATCH // 2) for o in of])
         own = np.concatenate([ids[first[i] : first[i + 1]] for i in chosen]) if counts[chosen].sum() else np.empty(0, np.int64)
         used, own = np.unique(own, return_inverse=True)
-        per = np.diff(v.cuts)[used] if len(used) else np.empty(0, np.int64)
-        cuts = np.concatenate([[0], np.cumsum(per)])
-        part = Vocabulary(v.word[used], v.grams[np.repeat(v.cuts[:-1][used] - cuts[:-1], per) + np.arange(cuts[-1])] if len(used) else v.grams[:0], cuts)
+        per = v.cuts[used + 1] - v.cuts[used] if len(used) else np.empty(0, np.int64)
+        part = Vocabulary(v.word[used], grams_of(v, used) if len(used) else v.grams[:0], np.concatenate([[0], np.cumsum(per)]))
         begin, size, row = windows(counts[chosen])
         inputs = net.embedded(part)
         logit = net.forward(inputs, own, begin, size)
@@ -286,7 +298,7 @@ def score_column(docs: DataFrame, net: Network) -> DataFrame:
         own.p = shared.value
         for batch in batches:
             data, offsets = tb.utf8(batch.column(at))
-            for i, j in tb.pieces(offsets):
+            for i, j in tb.pieces(offsets, 1 << 20):
                 score = own.scores(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(score)], [*batch.schema.names, "score"])
 
