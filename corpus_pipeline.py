@@ -25,9 +25,9 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of near duplicates (five words, 0.8)."""
-    kept = neardup.near_duplicates(docs, k=5, percent=80).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    unnamed = docs.where("doc_id IS NULL")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionAll(unnamed)
+    gone = common.written(neardup.near_duplicates(docs, k=5, percent=80).where("NOT kept").select("doc_id").distinct(), "gone")
+    few = gone.count() <= neardup.BROADCAST_ROWS  # else the texts are shuffled
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

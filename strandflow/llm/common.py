@@ -16,9 +16,16 @@ from pyspark.sql import types as T
 RANK_ROWS = 1024
 #: Buckets for each key of ``ranked`` at most, so the offsets that are broadcast keep a fixed bound.
 RANK_BUCKETS = 2048
+_written: list[str] = []
+
+
+#: Bytes of rows that go to a Python worker at once; the default is large for tables of long texts.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A sample table. Sets the session's limit of bytes in an Arrow batch to BATCH_BYTES."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,10 +45,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     work nor depend on executors that may be lost."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Removes the tables that this process has written. Results that were made from them must have
+    been collected or written by then."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def fresh(df: DataFrame, *wanted: str) -> dict[str, str]:
     """Names for helper columns that no column of ``df`` has, whatever the case of letters."""
     taken = {c.lower() for c in df.columns}
