@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from strandflow.llm.common import extended, table
+from strandflow.llm.common import extended, ship, table
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -42,6 +42,9 @@ _HINT = re.compile(
     r"related|recommended|recommendations|share|sharing|social|newsletters?|subscribe|subscription|signup|login|search|widgets?|toolbar|copyright|complementary|contentinfo|alerts?|disclaimers?|skip|tags|byline-links)(?=$|[\s_-])",
     re.I,
 )
+#: In an article these hold its title; elsewhere the site's.
+_HEADER = re.compile(r"(?:^|[_-])headers?(?:$|[_-])", re.I)
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?=\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _CONTENT = re.compile(r"(?:^|[\s_-])(?:article|articlebody|post|entry|story|content|main|maincontent|body-text)(?:$|[\s_-])", re.I)
 
 
@@ -59,13 +62,15 @@ def _kind(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
     """Whether an element starts something outside the main text; whether it starts an article."""
     outer = tag in _OUTER or tag == "header" and not in_article
     article = tag in _ARTICLE
-    if attributes and "=" in attributes:
-        said = " ".join(a or b or c for a, b, c in _ATTRIBUTE.findall(attributes))
-        if said and tag not in ("html", "body"):
-            if _HINT.search(said) and not article:
-                outer = True
-            elif _CONTENT.search(said):
-                article = True
+    if attributes and tag not in ("html", "body"):
+        outer = outer or bool(_HIDDEN.search(attributes))
+        said = " ".join(a or b or c for a, b, c in _ATTRIBUTE.findall(attributes)).split() if "=" in attributes else []
+        hints = [bool(_HINT.search(w)) and not (in_article and _HEADER.search(w)) for w in said]
+        # "content with-sidebar" holds the article, "comment-content" doesn't
+        if any(_CONTENT.search(w) and not h for w, h in zip(said, hints, strict=True)):
+            article = True
+        elif any(hints) and not article:
+            outer = True
     return outer, article
 
 
@@ -110,24 +115,27 @@ def blocks(page: str) -> list[Block]:
         if tag not in _BLOCKS:
             if tag in _SPACES:
                 put(" ")
-            if tag in _VOID or not (close or attributes or stack):
-                continue
-            if not close and not attributes:
+            if tag in _VOID:
                 continue
+            inside = any(x[0] == tag for x in stack)
             if not close:
-                off, _ = _kind(tag, attributes, article)
-                if not off:
-                    continue
-                # an inline element outside the main text stands for itself
-                flush()
-                stack.append((tag, outer, article))
-                outer = True
-            elif any(x[0] == tag for x in stack) and tag not in _BLOCKS:
-                flush()
+                # an inline element outside the main text stands for itself, as do those within it
+                off = bool(attributes) and _kind(tag, attributes, article)[0]
+                if off:
+                    flush()
+                if off or inside:
+                    stack.append((tag, outer, article))
+                outer = outer or off
+            elif inside:
+                was = outer
                 while stack:
                     name, outer, article = stack.pop()
                     if name == tag:
                         break
+                if was != outer:
+                    now, outer = outer, was
+                    flush()
+                    outer = now
             continue
         flush()
         heading = not close and len(tag) == 2 and tag[0] == "h" and tag != "hr"
@@ -226,6 +234,7 @@ def extract(pages: DataFrame, column: str = "html", tree: tuple | None = None) -
     """``pages`` without ``column``, with ``text`` and ``n_chars`` (code points) appended; columns
     of those names are replaced. Null and empty pages have an empty text; repeated rows are each
     extracted; an empty table gives an empty one."""
+    ship(pages.sparkSession)
     pages = pages.drop("text", "n_chars")
     at = pages.columns.index(column)
 

@@ -30,6 +30,13 @@ def test_without_article_markup():
     assert main_text(page) == "\n".join(["Head line of it", text.strip(), text.strip()])
 
 
+def test_classes_and_hidden_parts():
+    text = "Words of the article that go on for a while, so that nobody takes them for a menu. "
+    page = f"""<div class="content with-sidebar"><div class="entry-header"><h1>Title</h1></div><p>{text}<span class="ad">buy <span>this</span> now</span> on.</p><div hidden><p>{text} hidden</p></div>
+      <div style="display: none"><p>none</p></div><div class="comment-content"><p>{text} said a reader</p></div><p>{text}</p></div><div class="sidebar"><p>{text} aside</p></div>"""
+    assert main_text(page) == "\n".join(["Title", text.strip(), "on.", text.strip(), text.strip()][:3] + [text.strip()])
+
+
 @pytest.mark.parametrize("page", ["", "   ", "<", "<p", "<!-- open", "<script>never closed", "</p></div>", "<p>a<div></p></section>b", "<a <b> c", "<p class='x>unclosed quote</p>", "&#xffffffff; &bogus; &#0;", "<div>" * 3000, "<p>" + "w " * 200_000])
 def test_broken_markup(page):
     assert isinstance(main_text(page), str)
