@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import atexit
 import math
+import pathlib
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,14 +19,33 @@ RANK_ROWS = 1024
 #: Buckets for each key of ``ranked`` at most, so the offsets that are broadcast keep a fixed bound.
 RANK_BUCKETS = 2048
 _written: list[str] = []
+_shipped: set[str] = set()
 
 
 #: Bytes of rows that go to a Python worker at once; the default is large for tables of long texts.
 BATCH_BYTES = 8 << 20
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once an application: their Python workers need not have
+    it on their path."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    package = pathlib.Path(__file__).resolve().parent.parent
+    folder = tempfile.mkdtemp(prefix="strandflow-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    made = f"{folder}/{package.name}.zip"
+    with zipfile.ZipFile(made, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, str(f.relative_to(package.parent)))
+    context.addPyFile(made)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A sample table. Sets the session's limit of bytes in an Arrow batch to BATCH_BYTES."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -44,6 +65,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` once to the shared folder and reads it back: later steps neither repeat its
     work nor depend on executors that may be lost."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     _written.append(path)
     df.write.parquet(path)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandflow.llm import textbatch as tb
-from strandflow.llm.common import extended, schema, table, written
+from strandflow.llm.common import extended, schema, ship, table, written
 
 U = np.uint64
 SLOTS = 64
@@ -187,6 +187,7 @@ def neighbour_fingerprints(docs: DataFrame, partitions: int | None = None) -> Da
     ranges of ids; only the rows at the ranges' seams, two a range, are matched in a second step.
     """
     spark = docs.sparkSession
+    ship(spark)
     parts = partitions or max(docs.select("doc_id").rdd.getNumPartitions(), spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, F.col("doc_id").asc_nulls_first())
     dealt = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
@@ -202,6 +203,7 @@ def neighbour_fingerprints(docs: DataFrame, partitions: int | None = None) -> Da
 
 def with_fingerprint(docs: DataFrame) -> DataFrame:
     """``docs`` with its ``fingerprint``; a column of that name is replaced, null texts are empty."""
+    ship(docs.sparkSession)
     docs = docs.drop("fingerprint")
     at = docs.columns.index("text")
 

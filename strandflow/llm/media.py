@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from strandflow.llm import jpeg
-from strandflow.llm.common import extended, table
+from strandflow.llm.common import extended, ship, table
 
 BLOCK, UNIT, UNITS_WIDE = 64, 6, 256
 _ONES = np.ones(64, np.float32)
@@ -58,6 +58,7 @@ def restore(image: jpeg.Image) -> bytes:
 def with_media(docs: DataFrame, column: str = "text") -> DataFrame:
     """``docs`` without ``column``, with ``n_bytes`` and ``media`` (the stored form) appended;
     columns of those names are replaced. Null is stored as an empty payload."""
+    ship(docs.sparkSession)
     docs = docs.drop("n_bytes", "media")
     at = docs.columns.index(column)
     kept = docs.drop(column)
@@ -91,6 +92,7 @@ def opened(media: DataFrame) -> DataFrame:
 
 
 def _per_image(media: DataFrame, made, spec: str) -> DataFrame:
+    ship(media.sparkSession)
     names = [x.split()[0] for x in spec.split(", ")]
     kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     types = [kinds[x.split()[1]] for x in spec.split(", ")]

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandflow.llm import textbatch as tb
-from strandflow.llm.common import schema, table, written
+from strandflow.llm.common import schema, ship, table, written
 from strandflow.llm.components import components
 
 U = np.uint64
@@ -308,6 +308,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     an id must repeat its text. An empty table gives an empty result. ``percent`` should be 80 or
     more: the bands are set for that.
     """
+    ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     made = written(docs.mapInArrow(_sketch(k), schema("doc_id long, n_shingles long, class binary, bands array<long>, marks binary")), "sketches")
     found = made.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("class").agg(F.min_by(F.struct("doc_id", "n_shingles", "bands", "marks"), "doc_id").alias("c"))

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import extended, fresh, ranked, table, written
+from strandflow.llm.common import extended, fresh, ranked, ship, table, written
 
 LIMIT = 2048
 #: The file's vocabulary; ids are those that the tokenizers library gives for byte_bpe_50k.json.
@@ -224,6 +224,7 @@ def pack(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     empty text is one token. Texts of more than ``limit`` tokens are cut, the first piece being the
     shorter one. Repeated rows are packed each. An empty table gives an empty one.
     """
+    ship(docs.sparkSession)
     made = ["piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     docs = docs.drop(*made)
     others = [c for c in docs.columns if c.lower() != "text"]

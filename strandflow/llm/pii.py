@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from strandflow.llm.common import extended, table
+from strandflow.llm.common import extended, ship, table
 
 ROUNDS = 8
 #: For tests and queries; a deployment passes its own.
@@ -245,6 +245,7 @@ def pseudonymised(docs: DataFrame, key: bytes | None = None, invert: bool = Fals
     The key is the argument, else the session's ``strandflow.pii.key``, else DEFAULT_KEY."""
     if key is None:
         key = docs.sparkSession.conf.get(KEY_SETTING, DEFAULT_KEY.decode()).encode()
+    ship(docs.sparkSession)
     docs = docs.drop("n_replaced") if counts else docs
     at = docs.columns.index("text")
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import fresh, ranked, table, written
+from strandflow.llm.common import fresh, ranked, ship, table, written
 
 ROW_BYTES = 16
 HEAD = 20
@@ -118,6 +118,7 @@ def shard(docs: DataFrame, shards: int = 40, head: int = HEAD, bucket: int = BUC
     order. The result is the same for the same rows. An empty table gives an empty one. The rows are
     written to the shared folder; without ``keep_text`` the texts are not.
     """
+    ship(docs.sparkSession)
     docs = docs.drop("size", "shard", "slot")
     c = fresh(docs.withColumns({x: F.lit(0) for x in ("size", "shard", "slot")}), "shard_group", "shard_bucket", "group_bytes")
     key = F.coalesce(F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)), F.lit(b"").cast("binary"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandflow.llm import textbatch as tb
-from strandflow.llm.common import extended, table
+from strandflow.llm.common import extended, ship, table
 
 U = np.uint64
 WINDOW, STRIDE = 32, 24
@@ -289,6 +289,7 @@ def fitted(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Networ
 
 def score_column(docs: DataFrame, net: Network) -> DataFrame:
     """``docs`` with a column ``score`` appended (one of that name is replaced)."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net.p)
     docs = docs.drop("score")
     at = docs.columns.index("text")
@@ -298,7 +299,7 @@ def score_column(docs: DataFrame, net: Network) -> DataFrame:
         own.p = shared.value
         for batch in batches:
             data, offsets = tb.utf8(batch.column(at))
-            for i, j in tb.pieces(offsets, 1 << 20):
+            for i, j in tb.pieces(offsets, 1 << 18):
                 score = own.scores(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(score)], [*batch.schema.names, "score"])
 
