@@ -153,3 +153,36 @@ def test_against_all_chains(spark, mode, within, without):
         for u, s in streams.items():
             wanted = brute(s, "abc", mode, within, without, emit)
             assert sorted(out.get(u, []), key=str) == sorted(wanted, key=str), (u, s, emit)
+
+
+@pytest.mark.parametrize("emit", [False, True])
+@pytest.mark.parametrize("gap", ["", " WITHOUT d"])
+def test_variables_against_all_chains(spark, emit, gap):
+    """Each value of the variable is a stream of its own; events of steps that don't use it are in all."""
+    rng = random.Random(f"{emit} {gap}")
+    streams = {u: sorted(((rng.randrange(25), rng.choice("abcd"), rng.choice(["p", "q", None])) for _ in range(rng.randrange(0, 12))), key=lambda e: e[0]) for u in range(120)}
+    e = engine_of(spark, [(u, t, k, None, c) for u, s in streams.items() for t, k, c in s])
+    q = f"events | MATCH FIRST SEQUENCE(a WHERE category = $v THEN b{gap} THEN c WHERE category = $v) WITHIN 15s{' EMIT ALL' * emit}"
+    out = {(r.entity_id, r.v): (r.step_reached if emit else 3, None if r.match_duration is None else r.match_duration // 10**9) for r in e.query(q).collect()}
+    wanted = {}
+    for u, s in streams.items():
+        for v in {c for _, k, c in s if k == "a" and c}:
+            own = [(t, k) for t, k, c in s if k in "bd" or c == v]
+            for found in brute(own, "abc", "first", 15, {2: ("d",)} if gap else {}, emit):
+                wanted[u, v] = found
+    assert out == wanted
+
+
+@pytest.mark.parametrize("cumulative", [False, True])
+def test_brackets_against_all_chains(spark, cumulative):
+    rng = random.Random(cumulative)
+    streams = {u: sorted(((rng.randrange(40), rng.choice("abc")) for _ in range(rng.randrange(0, 8))), key=lambda e: e[0]) for u in range(120)}
+    e = engine_of(spark, [(u, t, k) for u, s in streams.items() for t, k in s], columns="")
+    q = f"events | MATCH FIRST SEQUENCE(a THEN b) BRACKETS {'CUMULATIVE ' * cumulative}[5s, 12s, 20s] EMIT ALL | SELECT entity_id, bracket, step_reached"
+    wanted = []
+    for u, s in streams.items():
+        for _, d in brute(s, "ab", "first", 20, {}, True):
+            hits = [d is not None and low < d <= high for low, high in ((-1, 5), (5, 12), (12, 20))]
+            steps = [2 if h else 1 if i == 0 else 0 for i, h in enumerate(hits)]
+            wanted += [(u, i, max(steps[: i + 1]) if cumulative else steps[i]) for i in range(3)]
+    assert rows(e.query(q)) == sorted(wanted, key=str)
