@@ -174,9 +174,12 @@ class Pseudonyms:
         if not (7 <= len(local) and len(digits) <= 15):
             return None
         american = country in ("", "1") and len(local) == 10
-        valid = (lambda v: (t := str(v).zfill(10))[0] >= "2" and t[3] >= "2") if american else None
-        if valid and not valid(int(local)):
-            return None
+        # area codes and exchanges from 200 up, and the others, are permuted among themselves
+        assigned = lambda v: (t := str(v).zfill(10))[0] >= "2" and t[3] >= "2"
+        known = assigned(int(local))
+        if american and not known and s[0] not in "+(":
+            return None  # three groups of digits, nothing else to tell a phone number by
+        valid = (lambda v: assigned(v) == known) if american else None
         n = len(local)
         made = str(self.permute("phone " + (country or "1" if american else country), 10**n, int(local), valid)).zfill(n)
         return _refill(s, country + made)

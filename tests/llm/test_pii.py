@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -47,6 +48,17 @@ def test_formats_links_and_round_trip():
             assert back.text(made) == f"before {v} after, {v}"
 
 
+def test_phone_numbers_of_any_area_code():
+    work, back = Pseudonyms(b"k"), Pseudonyms(b"k", invert=True)
+    texts = [f"call +1 ({area:03d}) {exchange}-7713." for area in (*range(0, 1000, 7), 17, 132, 199, 200) for exchange in ("055", "155", "555")]
+    texts += ["+1 017 555 7713", "+10175557713", "+1-132-155-1352", "(017) 555-7713"]
+    made = [work.text(t) for t in texts]
+    assert work.found["phone"] == len(texts) and len(set(made[:-4])) == len(set(texts[:-4]))
+    assert [back.text(m) for m in made] == texts
+    assert all(m != t and re.sub("[0-9]", "9", m) == re.sub("[0-9]", "9", t) for m, t in zip(made, texts, strict=True))
+    assert work.text("012-345-6789") == "012-345-6789"
+
+
 def test_pseudonyms_are_valid():
     rng, work = random.Random(2), Pseudonyms()
     for _ in range(100):
