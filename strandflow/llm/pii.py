@@ -81,6 +81,22 @@ _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHI
 _HEX = "0123456789abcdef"
 #: Days that dates are permuted within.
 _FIRST, _LAST = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
+_MONTHS = "january february march april may june july august september october november december".split()
+#: Months by name: in full, by three letters (May is in full), and the one that also has four.
+_SPELLINGS = [{x: i for i, x in enumerate(_MONTHS, 1)}, {x[:3]: i for i, x in enumerate(_MONTHS, 1) if x != "may"}, {"sept": 9}]
+
+
+def _day(year: int, month: int, day: int) -> dt.date | None:
+    """A day that there is, from _FIRST to _LAST."""
+    try:
+        found = dt.date(year, month, day)
+    except ValueError:
+        return None
+    return found if _FIRST <= found.toordinal() <= _LAST else None
+
+
+def _th(day: int) -> str:
+    return "th" if 10 < day < 14 else {1: "st", 2: "nd", 3: "rd"}.get(day % 10, "th")
 
 
 class Pseudonyms:
@@ -177,8 +193,6 @@ class Pseudonyms:
         # area codes and exchanges from 200 up, and the others, are permuted among themselves
         assigned = lambda v: (t := str(v).zfill(10))[0] >= "2" and t[3] >= "2"
         known = assigned(int(local))
-        if american and not known and s[0] not in "+(":
-            return None  # three groups of digits, nothing else to tell a phone number by
         valid = (lambda v: assigned(v) == known) if american else None
         n = len(local)
         made = str(self.permute("phone " + (country or "1" if american else country), 10**n, int(local), valid)).zfill(n)
@@ -196,23 +210,45 @@ class Pseudonyms:
         value = self.permute("address", 1 << 32, int.from_bytes(bytes(parts), "big"))
         return ".".join(str(b) for b in value.to_bytes(4, "big"))
 
+    def day(self, day: dt.date, valid: Callable[[dt.date], bool]) -> dt.date:
+        """The pseudonym of a day, among those that are ``valid``."""
+        at = lambda v: dt.date.fromordinal(_FIRST + v)
+        return at(self.permute("date", _LAST - _FIRST + 1, day.toordinal() - _FIRST, lambda v: valid(at(v))))
+
     def date(self, s: str) -> str | None:
+        if any(c in _LOWER or c in _UPPER for c in s):
+            return self.written_date(s)
         a, b, c = re.split(r"[-/.]", s)
         sep = s[len(a)]
-        # 2024-01-31, else 31.01.2024 or 31/01/2024, else 01/31/2024
-        for order in ("ymd",) if len(a) == 4 else ("mdy", "dmy") if sep == "/" else ("dmy",):
+        # 2024-01-31, else 31.01.2024, 31-01-2024 or 31/01/2024, else 01-31-2024 or 01/31/2024
+        for i, order in enumerate(("ymd",) if len(a) == 4 else ("mdy", "dmy") if sep == "/" else ("dmy", "mdy") if sep == "-" else ("dmy",)):
             at = dict(zip(order, (a, b, c), strict=True))
-            try:
-                day = dt.date(int(at["y"]), int(at["m"]), int(at["d"])).toordinal()
-            except ValueError:
+            day = _day(int(at["y"]), int(at["m"]), int(at["d"]))
+            if day is None:
                 continue
-            if not _FIRST <= day <= _LAST:
-                return None
-            new = dt.date.fromordinal(_FIRST + self.permute("date", _LAST - _FIRST + 1, day - _FIRST))
-            text = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
+            short = lambda x: (x.day < 10, x.month < 10)
+            bare = len(at["m"]) == 1 or len(at["d"]) == 1  # then both stay as long as they are
+            new = self.day(day, lambda x: (not bare or short(x) == short(day)) and (not i or x.day > 12))  # noqa: B023
+            text = {"y": f"{new.year:04d}", "m": f"{new.month:0{len(at['m'])}d}", "d": f"{new.day:0{len(at['d'])}d}"}
             return sep.join(text[x] for x in order)
         return None
 
+    def written_date(self, s: str) -> str | None:
+        """A date with its month in letters. Days below 10, and months of one spelling, stay among themselves."""
+        m = next(m for x in _WRITTEN if (m := x.fullmatch(s)))
+        word = m["month"]
+        names = next(x for x in _SPELLINGS if word.lower() in x)
+        day = _day(int(m["year"]), names[word.lower()], int(m["day"]))
+        if day is None or m["th"] and m["th"] != _th(day.day):
+            return None
+        spelt = {v: k for k, v in names.items()}
+        new = self.day(day, lambda x: x.month in spelt and (x.day < 10) == (day.day < 10))
+        name = spelt[new.month]
+        made = {"month": name.upper() if word.isupper() else name if word.islower() else name.title(), "day": f"{new.day:0{len(m['day'])}d}", "th": m["th"] and _th(new.day), "year": f"{new.year:04d}"}
+        for part in sorted((x for x in made if m[x]), key=m.start, reverse=True):
+            s = s[: m.start(part)] + made[part] + s[m.end(part) :]
+        return s
+
     def text(self, s: str) -> str:
         def put(m: re.Match) -> str:
             kind = m.lastgroup
@@ -226,16 +262,23 @@ class Pseudonyms:
 
 
 _SECRET = re.compile(r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?[ \t]{0,2}[=:][ \t]{0,2}[\"']?(?P<value>[A-Za-z0-9+/_.-]{8,}={0,2})")
+_MONTH = r"(?:" + "|".join(f"{x}|{x.upper()}|{x.title()}" for x in sorted({n for names in _SPELLINGS for n in names}, key=lambda n: (-len(n), n))) + r")"
+_WRITTEN_DAY = r"(?:0?[1-9]|[12][0-9]|3[01])"
+_WRITTEN = [
+    re.compile(rf"(?P<day>{_WRITTEN_DAY})(?P<th>st|nd|rd|th)?[ -](?P<month>{_MONTH})\.?,?[ -](?P<year>[0-9]{{4}})"),
+    re.compile(rf"(?P<month>{_MONTH})\.? (?P<day>{_WRITTEN_DAY})(?P<th>st|nd|rd|th)?,? (?P<year>[0-9]{{4}})"),
+]
 _ANY = re.compile(
     r"(?P<secret>(?<![A-Za-z])(?:" + _SECRET.pattern.replace("?P<value>", "?:") + r"))"
     r"|(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9]))"
     r"|(?P<access_key>(?<![A-Z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Z0-9]))"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
     r"|(?P<phone>(?<![0-9A-Za-z+])(?:\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\+(?!1[ .(-])[0-9]{1,3}(?:[ -]?(?:\([0-9]{1,4}\)|[0-9]{1,4})){2,5}"
-    r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z]|\.[0-9]))"
+    r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}|(?<![0-9] )[0-9]{3} [0-9]{3} [0-9]{4}(?! [0-9]))(?![0-9A-Za-z]|\.[0-9]))"
     r"|(?P<address>(?<![0-9.A-Za-z])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9]))"
     r"|(?P<social>(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-]))"
-    r"|(?P<date>(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[./-][0-9]))"
+    r"|(?P<date>(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9]|[./-][0-9])"
+    r"|(?<![0-9A-Za-z])(?<![0-9]\.)(?:" + "|".join(re.sub(r"\?P<\w+>", "?:", x.pattern) for x in _WRITTEN) + r")(?![0-9A-Za-z]))"
     r"|(?P<card>(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z]))"
 )
 #: Texts without any of these have nothing to replace.

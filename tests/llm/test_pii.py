@@ -56,7 +56,20 @@ def test_phone_numbers_of_any_area_code():
     assert work.found["phone"] == len(texts) and len(set(made[:-4])) == len(set(texts[:-4]))
     assert [back.text(m) for m in made] == texts
     assert all(m != t and re.sub("[0-9]", "9", m) == re.sub("[0-9]", "9", t) for m, t in zip(made, texts, strict=True))
-    assert work.text("012-345-6789") == "012-345-6789"
+
+
+def test_dates_and_phone_numbers_in_other_shapes():
+    rng, work, back = random.Random(3), Pseudonyms(b"k"), Pseudonyms(b"k", invert=True)
+    fixed = ["2024/01/31", "31-01-2024", "01-31-2024", "5.3.2024", "31/01/2024", "5/13/2024", "13/5/2024", "2024-1-5", "January 5, 2024", "5 January 2024", "5th May 2024", "Sept. 3rd, 1999", "12 DEC 2001", "05-Feb-2010", "555 123 4567", "555-123-4567", "012.345.6789"]
+    forms = ["%Y/%m/%d", "%d-%m-%Y", "%m-%d-%Y", "%d/%m/%Y", "%-d.%-m.%Y", "%-m/%-d/%Y", "%Y-%-m-%-d", "%B %-d, %Y", "%-d %b %Y", "%d %B %Y", "%b. %d %Y"]
+    days = [dt.date(1900, 1, 1) + dt.timedelta(rng.randrange(73_000)) for _ in range(150)]
+    seen: dict = {}
+    for v in [*fixed, *(d.strftime(f) for d in days for f in forms)]:
+        one = work.text(v)
+        assert one != v and seen.setdefault(one, v) == v and back.text(one) == v, v
+        assert re.sub("[0-9]", "9", re.sub("[A-Za-z]+", "x", one)) == re.sub("[0-9]", "9", re.sub("[A-Za-z]+", "x", v))
+    for v in ["31 February 2024", "2024.1.5", "1 555 123 4567", "555 123 4567 8901", "in May 2024", "5th of it", "1.5 May 2024", "version 3.11.2"]:
+        assert work.text(v) == v
 
 
 def test_pseudonyms_are_valid():
