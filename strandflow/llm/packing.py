@@ -16,10 +16,12 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import zlib
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -180,13 +182,28 @@ def _encoding(path: str):
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=_added(path))
+
+
+@functools.cache
+def _added(path: str) -> dict[str, int]:
+    """The added tokens of the tokenizers file beside the vocabulary, if there is one."""
+    file = Path(path).with_suffix(".json")
+    return {x["content"]: x["id"] for x in json.loads(file.read_text("utf-8"))["added_tokens"]} if file.exists() else {}
 
 
 def token_ids(text: str, path: str) -> np.ndarray:
+    """The ids of ordinary text, which added tokens are read as, too."""
     return np.array(_encoding(path).encode_ordinary(text), dtype="<u4")
 
 
+def text_ids(text: str, path: str) -> np.ndarray:
+    """The ids of a text, in which added tokens have their own, as ``tokenizers`` gives them."""
+    if not any(x in text for x in _added(path)):
+        return token_ids(text, path)
+    return np.array(_encoding(path).encode(text, allowed_special="all"), dtype="<u4")
+
+
 def cut(length: int, limit: int) -> list[int]:
     """Where pieces start: all but the first have ``limit`` tokens."""
     first = length % limit or limit
@@ -200,7 +217,7 @@ def _pieces(path: str, limit: int):
                 part = batch.slice(start, 512)
                 row, piece, begin, length, check = [], [], [], [], []
                 for i, text in enumerate(pc.fill_null(part.column(batch.num_columns - 1), "")):
-                    ids = np.append(token_ids(text.as_py(), path), np.uint32(0)).astype("<u4")
+                    ids = np.append(text_ids(text.as_py(), path), np.uint32(0)).astype("<u4")
                     places = cut(len(ids), limit)
                     for k, (a, b) in enumerate(zip(places, [*places[1:], len(ids)], strict=True)):
                         row.append(i)
@@ -220,8 +237,8 @@ def pack(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     ``start``, ``length``, ``ids_crc32``, ``sequence_id``, ``offset``; columns of those names are
     replaced.
 
-    A text's tokens are those of the vocabulary at ``path`` and an id 0 to end it, so a null or
-    empty text is one token. Texts of more than ``limit`` tokens are cut, the first piece being the
+    A text's tokens are those of the vocabulary at ``path``, added tokens such as <|endoftext|>
+    included, and an id 0 to end it, so a null or empty text is one token. Texts of more than ``limit`` tokens are cut, the first piece being the
     shorter one. Repeated rows are packed each. An empty table gives an empty one.
     """
     ship(docs.sparkSession)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandflow.llm.packing import best_fit, cut, pack, plan, reduced, token_ids, vocabulary
+from strandflow.llm.packing import best_fit, cut, pack, plan, reduced, text_ids, token_ids, vocabulary
 
 
 def fewest(items, limit):
@@ -78,6 +78,18 @@ def test_ids_are_those_of_the_named_vocabulary():
         assert token_ids(text, vocabulary()).tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_have_their_own_ids(docs_of):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["<|endoftext|>", "a  <|endoftext|> b", "x<|endoftext|><|endoftext|>\n\n y", "<|endoftext", "<|ENDOFTEXT|>", "plain  text \n"]
+    ids = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [text_ids(x, vocabulary()).tolist() for x in texts] == ids and ids[0] == [50256]
+    found = pack(docs_of(list(enumerate(texts))), vocabulary()).collect()
+    assert {(r.doc_id, r.length, r.ids_crc32) for r in found} == {(i, len(x) + 1, zlib.crc32(np.array([*x, 0], "<u4").tobytes())) for i, x in enumerate(ids)}
+
+
 def test_pieces():
     assert cut(1, 8) == [0] and cut(8, 8) == [0] and cut(9, 8) == [0, 1] and cut(20, 8) == [0, 4, 12]
 
