@@ -8,7 +8,7 @@ shared folder and read again as the next stage's ``docs``. All but the last retu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandflow.llm import common, mixing, neardup, packing, pii, toxicity
@@ -24,10 +24,43 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near duplicates (five words, 0.8)."""
-    gone = common.written(neardup.near_duplicates(docs, k=5, percent=80).where("NOT kept").select("doc_id").distinct(), "gone")
-    few = gone.count() <= neardup.BROADCAST_ROWS  # else the texts are shuffled
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    """The document of the smallest id of each group of near duplicates (five words, 0.8), and one row
+    of those that repeat its id. Rows without an id take part, with ids of their own after all others."""
+    if docs.where("doc_id IS NULL").isEmpty():
+        return _one_of_each(docs)
+    first, last = docs.agg(F.coalesce(F.min("doc_id"), F.lit(0)), F.coalesce(F.max("doc_id"), F.lit(-1))).head()
+    kept = _one_of_each(_numbered(docs, first, last))
+    return kept.withColumn("doc_id", F.when(F.col("doc_id").between(first, last), F.col("doc_id"))).select(*docs.columns)
+
+
+def _numbered(docs: DataFrame, first: int, last: int) -> DataFrame:
+    """``docs`` whose ids are from ``first`` to ``last``, with an id outside that for each text without one."""
+    bare = _once(docs.where("doc_id IS NULL")).withColumn("_row", F.monotonically_increasing_id())
+    bare = common.written(bare, "unnamed").withColumn("_task", F.shiftright("_row", 33))
+    sizes = bare.groupBy("_task").count()  # a row for each task that has written
+    start = F.coalesce(F.sum("count").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    n = bare.count()
+    base = last + 1 if last + n < 1 << 63 else first - n
+    number = F.lit(base).cast("long") + F.col("_start") + F.col("_row").bitwiseAND((1 << 33) - 1)
+    bare = bare.join(F.broadcast(sizes.select("_task", start.alias("_start"))), "_task").withColumn("doc_id", number)
+    return docs.where("doc_id IS NOT NULL").union(bare.select(*docs.columns))
+
+
+def _once(docs: DataFrame) -> DataFrame:
+    """One of the rows that have the same id and text."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    least = docs.groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("_others"))
+    return least.select("doc_id", "text", "_others.*").select(*docs.columns)
+
+
+def _one_of_each(docs: DataFrame) -> DataFrame:
+    found = neardup.near_duplicates(docs, k=5, percent=80).groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
+    other = common.written(found.where("NOT kept OR rows > 1").select("doc_id", "kept"), "gone")
+    few = other.count() <= neardup.BROADCAST_ROWS  # else the texts are shuffled
+    other = F.broadcast(other) if few else other
+    left = docs.join(other, "doc_id", "left_anti").select(*docs.columns)
+    again = other.where("kept")
+    return left if again.isEmpty() else left.union(_once(docs.join(F.broadcast(again) if few else again, "doc_id", "left_semi").select(*docs.columns)))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

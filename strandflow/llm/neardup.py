@@ -305,7 +305,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     Documents are linked if 100 x intersection >= ``percent`` x union of their shingle sets. Null
     and empty texts and texts without words have an empty set and no link. Rows without an id are
     returned with their set size, no component and ``kept`` true, and link nothing. Rows that repeat
-    an id must repeat its text. An empty table gives an empty result. ``percent`` should be 80 or
+    an id must repeat its text; ``kept`` is that of the id, so all of them have the same. An empty table gives an empty result. ``percent`` should be 80 or
     more: the bands are set for that.
     """
     ship(docs.sparkSession)

@@ -25,3 +25,27 @@ def test_stages_follow_each_other(spark, monkeypatch):
     whole = {(r.doc_id, r.piece, r.ids_crc32, r.length) for r in packing.pack(made[4].select("doc_id", "text"), packing.vocabulary()).collect()}
     assert {(r.doc_id, r.piece, r.ids_crc32, r.length) for r in made[5].collect()} == whole
     assert {(r.doc_id, r.piece, r.ids_crc32, r.length) for r in corpus_pipeline.run(spark, DATA).collect()} == whole
+
+
+def test_one_row_of_repeats_and_of_rows_without_an_id(docs_of, spark):
+    def text(i, n=60):
+        return " ".join(f"w{i}x{j}" for j in range(n))
+
+    rows = [(1, text(1)), (1, text(1)), (2, text(2)), (3, text(1)), (4, ""), (4, ""), (5, text(5)), (6, text(6)), (6, text(6)), (7, None)]
+    bare = [(None, text(2)), (None, text(8)), (None, text(8)), (None, text(8) + " more"), (None, text(9)), (None, ""), (None, ""), (None, None), (None, None)]
+
+    def kept(found):
+        got = corpus_pipeline.keep_one_of_each(spark, docs_of(found).repartition(5), DATA)
+        assert got.columns == docs_of(rows).columns and got.dtypes == docs_of(rows).dtypes
+        return sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+
+    named = [(1, text(1)), (2, text(2)), (4, ""), (5, text(5)), (6, text(6)), (7, None)]
+    assert kept(rows) == sorted(named, key=str)
+    for more in ([], [((1 << 63) - 1, text(10))]):
+        got = kept(rows + bare + more)
+        assert len([t for i, t in got if i is None or i == 2 if t == text(2)]) == 1
+        assert len([t for i, t in got if i is None and t and t.startswith(text(8))]) == 1
+        assert [x for x in got if x[0] is not None and x[0] != 2] == sorted([*[x for x in named if x[0] != 2], *more], key=str)
+        assert sum(i is None and t != text(2) for i, t in got) == 4
+    assert kept(bare[1:3]) == [(None, text(8))]
+    assert kept([]) == []
