@@ -20,6 +20,8 @@ from strandflow.llm import jpeg
 from strandflow.llm.common import extended, ship, table
 
 BLOCK, UNIT, UNITS_WIDE = 64, 6, 256
+#: Units across or down in a JPEG, of 16 pixels each.
+MOST = 4095
 _ONES = np.ones(64, np.float32)
 
 
@@ -28,13 +30,19 @@ def padded(raw: bytes) -> bytes:
     return raw + bytes(-len(raw) % BLOCK if raw else BLOCK)
 
 
+def grid(units: int) -> tuple[int, int]:
+    """Units across and down: UNITS_WIDE across, or as many more as keep the height within MOST."""
+    high = -(-units // max(UNITS_WIDE, -(-units // MOST)))
+    wide = -(-units // high)
+    if wide > MOST:
+        raise ValueError("a JPEG holds 4095 x 4095 units of 384 bytes at most")
+    return wide, high
+
+
 def store(payload: bytes) -> bytes:
     """A progressive JPEG of a payload whose length is a positive multiple of BLOCK."""
     units = -(-len(payload) // (BLOCK * UNIT))
-    high = -(-units // UNITS_WIDE)
-    wide = -(-units // high)
-    if high * 16 > 65535:
-        raise ValueError("a JPEG holds 4095 x 256 units of 384 bytes at most")
+    wide, high = grid(units)
     n = wide * high
     coef = np.zeros(n * UNIT * BLOCK, np.int16)
     coef[: len(payload)] = np.frombuffer(payload, np.uint8)

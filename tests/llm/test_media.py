@@ -61,6 +61,18 @@ def test_payloads_come_back(raw):
     assert media.restore(jpeg.read_coefficients(data)) == payload and len(data) <= 1.2 * len(payload) + 1500
 
 
+def test_long_payloads_make_wider_images(monkeypatch):
+    for units in (1, 255, 256, 257, 1_000_000, 4095 * 256, 4095 * 256 + 1, 5_592_406, 4095 * 4095):
+        wide, high = media.grid(units)
+        assert units <= wide * high < units + high and 0 < wide <= 4095 and 0 < high <= 4095 and (wide <= 256 or units > 4095 * 256)
+    with pytest.raises(ValueError):
+        media.grid(4095 * 4095 + 1)
+    monkeypatch.setattr(media, "MOST", 5)
+    monkeypatch.setattr(media, "UNITS_WIDE", 2)
+    payload = media.padded(bytes(range(256)) * 36)  # 24 units, more than 2 x 5
+    assert media.grid(24) == (5, 5) and media.restore(jpeg.read_coefficients(media.store(payload))) == payload
+
+
 @pytest.mark.parametrize("data", [b"", b"\xff\xd8", b"not an image at all", media.store(media.padded(b"x" * 500))[:300]])
 def test_broken_images(spark, data):
     row = media.opened(spark.createDataFrame([(1, data)], "id long, media binary")).collect()[0]
