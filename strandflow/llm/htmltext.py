@@ -21,7 +21,8 @@ from strandflow.llm.common import extended, ship, table
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|title|textarea|select|button|iframe|object|svg|math|canvas|audio|video)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<!/)>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|title|textarea|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<!/)>.*?(?:</\1\s*>|\Z)"
+    r"|<(noscript|template|select|button|object|svg|canvas|audio|video)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<!/)>(?:(?!<\2\b).)*?</\2\s*>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>"
     r"|<[!?/][^>]*>"
@@ -30,6 +31,8 @@ _TOKEN = re.compile(
 )
 _BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 _VOID = frozenset("hr br img input link meta wbr col area base embed source track".split())
+#: Parts without main text. One that isn't closed before the next of its kind ends at the next block.
+_EMBEDDED = frozenset("noscript template select button object svg canvas audio video".split())
 _SPACES = frozenset("br td th dt dd".split())
 #: Elements that are closed by a following one of the same group.
 _CLOSES = {"p": "p", "li": "li", "dt": "d", "dd": "d", "tr": "tr", "td": "c", "th": "c", "option": "o"}
@@ -103,12 +106,12 @@ def blocks(page: str) -> list[Block]:
     for m in _TOKEN.finditer(page):
         put(page[at : m.start()])
         at = m.end()
-        tag = m[3] or m[6]
+        tag = m[4] or m[7]
         if tag is None:
-            if m[1] and m[1].lower() in ("title", "textarea", "select", "button"):
+            if (m[1] or m[2] or "").lower() in ("title", "textarea", "select", "button"):
                 flush()
             continue
-        tag, close, attributes = tag.lower(), m[2] or m[5], m[4] or m[7] or ""
+        tag, close, attributes = tag.lower(), m[3] or m[6], m[5] or m[8] or ""
         if tag == "a":
             links = 0 if close else 1
             continue
@@ -120,7 +123,7 @@ def blocks(page: str) -> list[Block]:
             inside = any(x[0] == tag for x in stack)
             if not close:
                 # an inline element outside the main text stands for itself, as do those within it
-                off = bool(attributes) and _kind(tag, attributes, article)[0]
+                off = tag in _EMBEDDED and not attributes.endswith("/") or bool(attributes) and _kind(tag, attributes, article)[0]
                 if off:
                     flush()
                 if off or inside:
@@ -138,6 +141,8 @@ def blocks(page: str) -> list[Block]:
                     outer = now
             continue
         flush()
+        while stack and stack[-1][0] in _EMBEDDED:
+            _, outer, article = stack.pop()
         heading = not close and len(tag) == 2 and tag[0] == "h" and tag != "hr"
         if tag in _VOID:
             continue

@@ -37,6 +37,17 @@ def test_classes_and_hidden_parts():
     assert main_text(page) == "\n".join(["Title", text.strip(), "on.", text.strip(), text.strip()][:3] + [text.strip()])
 
 
+@pytest.mark.parametrize("tag", ["button", "select", "object", "svg", "canvas", "audio", "video", "template", "noscript"])
+def test_unclosed_parts_end_at_the_next_block(tag):
+    text = "Words of the article that go on for a while, so that nobody takes them for a menu."
+    page = f"<article><h1>Title</h1><p>{text}</p><{tag} class=x>inside<p>{text}</p><{tag}>inside</{tag}><p>{text}</p></article>"
+    assert main_text(page) == "\n".join(["Title", text, text, text])
+
+
+def test_formulas_have_text():
+    assert main_text("<article><p>So it follows that <math><mi>a</mi><mo>=</mo><mi>b</mi></math> holds for all of them.</p></article>") == "So it follows that a=b holds for all of them."
+
+
 @pytest.mark.parametrize("page", ["", "   ", "<", "<p", "<!-- open", "<script>never closed", "</p></div>", "<p>a<div></p></section>b", "<a <b> c", "<p class='x>unclosed quote</p>", "&#xffffffff; &bogus; &#0;", "<div>" * 3000, "<p>" + "w " * 200_000])
 def test_broken_markup(page):
     assert isinstance(main_text(page), str)
