@@ -38,7 +38,9 @@ _SPACES = frozenset("br td th dt dd".split())
 _CLOSES = {"p": "p", "li": "li", "dt": "d", "dd": "d", "tr": "tr", "td": "c", "th": "c", "option": "o"}
 _OUTER = frozenset("nav footer aside form menu dialog fieldset".split())
 _ARTICLE = frozenset("article main".split())
-_ATTRIBUTE = re.compile(r"\b(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: In an article, their words alone don't tell that an element is outside the main text.
+_NAMING = frozenset(["id", "aria-label"])
 _HINT = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promos?|promotions?|cookies?|consent|gdpr|notices?|banners?|popups?|modals?|overlays?|"
     r"sidebars?|side|menus?|nav|navbar|navigation|breadcrumbs?|pagination|pager|footers?|headers?|masthead|comments?|commentlist|replies|reply|respond|disqus|discussion|"
@@ -47,7 +49,9 @@ _HINT = re.compile(
 )
 #: In an article these hold its title; elsewhere the site's.
 _HEADER = re.compile(r"(?:^|[_-])headers?(?:$|[_-])", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?=\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?=\s|=|/|$)", re.I)
+_UNSEEN = re.compile(r"(?:^|[\s\"'])(?:style\s*=\s*(?:\"[^\"]*|'[^']*|[^\s\"'>]*)display\s*:\s*none|aria-hidden\s*=\s*[\"']?true)", re.I)
 _CONTENT = re.compile(r"(?:^|[\s_-])(?:article|articlebody|post|entry|story|content|main|maincontent|body-text)(?:$|[\s_-])", re.I)
 
 
@@ -61,19 +65,22 @@ class Block:
     heading: bool
 
 
-def _kind(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether an element starts something outside the main text; whether it starts an article."""
-    outer = tag in _OUTER or tag == "header" and not in_article
+def _kind(tag: str, attributes: str, in_article: bool) -> tuple[int, bool]:
+    """Whether an element starts something outside the main text (2), or only its links are outside (1);
+    whether it starts an article."""
+    outer = 2 * (tag in _OUTER or tag == "header" and not in_article)
     article = tag in _ARTICLE
     if attributes and tag not in ("html", "body"):
-        outer = outer or bool(_HIDDEN.search(attributes))
-        said = " ".join(a or b or c for a, b, c in _ATTRIBUTE.findall(attributes)).split() if "=" in attributes else []
-        hints = [bool(_HINT.search(w)) and not (in_article and _HEADER.search(w)) for w in said]
+        if _HIDDEN.search(_QUOTED.sub('""', attributes)) or _UNSEEN.search(attributes):
+            outer = 2
+        found = _ATTRIBUTE.findall(attributes) if "=" in attributes else []
+        said = [(w, in_article and name.lower() in _NAMING) for name, a, b, c in found for w in (a or b or c).split()]
+        hints = [0 if not _HINT.search(w) or in_article and _HEADER.search(w) else 1 if naming else 2 for w, naming in said]
         # "content with-sidebar" holds the article, "comment-content" doesn't
-        if any(_CONTENT.search(w) and not h for w, h in zip(said, hints, strict=True)):
+        if any(_CONTENT.search(w) and not h for (w, _), h in zip(said, hints, strict=True)):
             article = True
-        elif any(hints) and not article:
-            outer = True
+        elif not article:
+            outer = max([outer, *hints])
     return outer, article
 
 
@@ -82,8 +89,9 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     link_parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []
-    outer = article = heading = False
+    stack: list[tuple[str, int, bool]] = []
+    outer = 0
+    article = heading = False
     links = 0
 
     def flush() -> None:
@@ -92,7 +100,7 @@ def blocks(page: str) -> list[Block]:
             if text:
                 linked = len(html.unescape(" ".join(link_parts)).split()) if link_parts else 0
                 words = text.count(" ") + 1
-                out.append(Block(text, words, min(linked, words), outer, article, heading))
+                out.append(Block(text, words, min(linked, words), outer == 2 or outer == 1 and 2 * linked >= words, article, heading))
             parts.clear()
             link_parts.clear()
 
@@ -123,12 +131,12 @@ def blocks(page: str) -> list[Block]:
             inside = any(x[0] == tag for x in stack)
             if not close:
                 # an inline element outside the main text stands for itself, as do those within it
-                off = tag in _EMBEDDED and not attributes.endswith("/") or bool(attributes) and _kind(tag, attributes, article)[0]
+                off = tag in _EMBEDDED and not attributes.endswith("/") or bool(attributes) and _kind(tag, attributes, article)[0] == 2
                 if off:
                     flush()
                 if off or inside:
                     stack.append((tag, outer, article))
-                outer = outer or off
+                outer = 2 if off else outer
             elif inside:
                 was = outer
                 while stack:
@@ -160,7 +168,7 @@ def blocks(page: str) -> list[Block]:
             _, outer, article = stack.pop()
         stack.append((tag, outer, article))
         off, inside = _kind(tag, attributes, article)
-        outer, article = outer or off, article or inside
+        outer, article = max(outer, off), article or inside
     put(page[at:])
     flush()
     return out

@@ -44,6 +44,14 @@ def test_unclosed_parts_end_at_the_next_block(tag):
     assert main_text(page) == "\n".join(["Title", text, text, text])
 
 
+def test_names_and_values_in_an_article_hide_nothing():
+    text = "Words of the article that go on for a while, so that nobody takes them for a menu."
+    page = f"""<article><h1>Title</h1><p title="a hidden cost">{text}</p><section id="discussion"><h2 id="related-work">Related work</h2><p aria-label="search">{text}</p></section>
+      <p title='display: none'>{text}</p><p hidden>no</p><p class="x" hidden="">no</p><p style="color:red; display:none">no</p><p aria-hidden="true">no</p>
+      <div id="comments" class="comments"><p>{text} says a reader</p></div><ul id="related"><li><a href="1">One</a></li><li><a href="2">Two</a></li><li><a href="3">Three</a></li></ul></article><div id="comments"><p>{text} says another</p></div>"""
+    assert main_text(page) == "\n".join(["Title", text, "Related work", text, text])
+
+
 def test_formulas_have_text():
     assert main_text("<article><p>So it follows that <math><mi>a</mi><mo>=</mo><mi>b</mi></math> holds for all of them.</p></article>") == "So it follows that a=b holds for all of them."
 
