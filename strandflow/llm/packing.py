@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import functools
 import json
+import re
 import zlib
 from bisect import bisect_left, bisect_right
 from collections import Counter
@@ -35,6 +36,10 @@ LIMIT = 2048
 #: The file's vocabulary; ids are those that the tokenizers library gives for byte_bpe_50k.json.
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
+#: Characters of one run of white space from which on ``tokenizers`` encodes a text: tiktoken's
+#: pattern goes back over the whole run, and its stack ends near 1,000,000.
+LONG_RUN = 100_000
+
 Pattern = tuple[int, ...]
 
 
@@ -192,16 +197,38 @@ def _added(path: str) -> dict[str, int]:
     return {x["content"]: x["id"] for x in json.loads(file.read_text("utf-8"))["added_tokens"]} if file.exists() else {}
 
 
+@functools.cache
+def _plain(path: str):
+    """The tokenizers library's reading of the same vocabulary, for texts that tiktoken can't take."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(str(Path(path).with_suffix(".json")))
+
+
+def _long_run(text: str) -> bool:
+    return len(text) >= LONG_RUN and any(m.end() - m.start() >= LONG_RUN for m in re.finditer(r"\s+", text))
+
+
+def _encoded(text: str, path: str, added: bool) -> list[int]:
+    if not _long_run(text):
+        try:
+            return _encoding(path).encode(text, allowed_special="all") if added else _encoding(path).encode_ordinary(text)
+        except BaseException as e:  # a panic of the library isn't an Exception
+            if type(e).__name__ != "PanicException":
+                raise
+    plain = _plain(path)
+    plain.encode_special_tokens = not added
+    return plain.encode(text, add_special_tokens=False).ids
+
+
 def token_ids(text: str, path: str) -> np.ndarray:
     """The ids of ordinary text, which added tokens are read as, too."""
-    return np.array(_encoding(path).encode_ordinary(text), dtype="<u4")
+    return np.array(_encoded(text, path, False), dtype="<u4")
 
 
 def text_ids(text: str, path: str) -> np.ndarray:
     """The ids of a text, in which added tokens have their own, as ``tokenizers`` gives them."""
-    if not any(x in text for x in _added(path)):
-        return token_ids(text, path)
-    return np.array(_encoding(path).encode(text, allowed_special="all"), dtype="<u4")
+    return np.array(_encoded(text, path, any(x in text for x in _added(path))), dtype="<u4")
 
 
 def cut(length: int, limit: int) -> list[int]:
@@ -238,8 +265,11 @@ def pack(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     replaced.
 
     A text's tokens are those of the vocabulary at ``path``, added tokens such as <|endoftext|>
-    included, and an id 0 to end it, so a null or empty text is one token. Texts of more than ``limit`` tokens are cut, the first piece being the
-    shorter one. Repeated rows are packed each. An empty table gives an empty one.
+    included, and an id 0 to end it, so a null or empty text is one token. Texts of more than
+    ``limit`` tokens are cut, the first piece being the shorter one; a text may be as long as a row
+    of the table can be, and so may a run of white space in it (from LONG_RUN characters on
+    ``tokenizers`` reads it, with equal ids). Repeated rows are packed each. An empty table gives an
+    empty one.
     """
     ship(docs.sparkSession)
     made = ["piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
@@ -273,4 +303,5 @@ def vocabulary() -> str:
 
 
 def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` in sequences of at most 2048 tokens; null and repeated rows as in ``pack``."""
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())

@@ -90,6 +90,29 @@ def test_added_tokens_have_their_own_ids(docs_of):
     assert {(r.doc_id, r.length, r.ids_crc32) for r in found} == {(i, len(x) + 1, zlib.crc32(np.array([*x, 0], "<u4").tobytes())) for i, x in enumerate(ids)}
 
 
+@pytest.mark.parametrize("text", [" " * 1_200_000, "a b" + "\n" * 2_000_000 + "c", "\t \n" * 400_000 + "<|endoftext|>x", "x" + "\u3000 " * 600_000, ("word" + " " * 99_000) * 12])
+def test_long_runs_of_white_space(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert text_ids(text, vocabulary()).tolist() == t.encode(text, add_special_tokens=False).ids
+    t.encode_special_tokens = True
+    assert token_ids(text, vocabulary()).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_a_panic_of_the_library_is_no_failure(monkeypatch):
+    monkeypatch.setattr("strandflow.llm.packing._long_run", lambda text: False)
+    assert len(token_ids(" " * 1_200_000, vocabulary())) == 1_200_000
+
+
+def test_very_long_documents(docs_of):
+    rows = [(1, " " * 1_500_000), (2, "word " * 400_000), (3, "short")]
+    found = pack(docs_of(rows).select("doc_id", "text"), vocabulary()).collect()
+    verify(found, dict(rows), 2048)
+    assert sum(r.length for r in found if r.doc_id == 1) == 1_500_001
+
+
 def test_pieces():
     assert cut(1, 8) == [0] and cut(8, 8) == [0] and cut(9, 8) == [0, 1] and cut(20, 8) == [0, 4, 12]
 
