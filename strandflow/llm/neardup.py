@@ -11,10 +11,14 @@ about 1e-7.
 
 Near classes are gathered to families: in each band key's group, first all members are compared with
 one hub, a linear number of pairs; groups whose other members are then in different families are
-finished in blocks that give a spanning forest. Within a family, all sets are compared with one, and
-those that aren't linked to it with all of the family, again in blocks, by an inverted index of
-the full sets. The links so confirmed give the components. So no link is left out, no group or
-family is held or paired in one task, and what blocks emit is at most linear in their members.
+finished in blocks that give a spanning forest. Within a family, all sets are compared with one.
+Families in which some aren't linked to it are finished in blocks, too, by an inverted index of the
+full sets; a family of more than one block is first parted by its rare shingles (``_parted``), so
+one whose members share a frame only never gets to blocks. Blocks pair sets whose sizes allow a link, and
+each is a task's group of its own. The links so confirmed give the components; none is left out.
+
+What stays quadratic: members of one part that have about equal sizes, share rare shingles and are
+mostly not linked are paired block by block, each set going to as many blocks as the part has.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandflow.llm import textbatch as tb
@@ -234,25 +238,55 @@ def _link_block(percent: int):
     return run
 
 
-def _dealt(rows: DataFrame, group: list[str], carried: list[str], block: int) -> DataFrame:
+def _size_class(percent: int):
+    """The class of a set size: sets that are ``percent`` alike are of the same class or of the next one."""
+    return F.floor(F.log(F.col("n_shingles").cast("double")) / -np.log(percent / 100 - 1e-6)).cast("int")
+
+
+def _dealt(rows: DataFrame, group: list[str], carried: list[str], block: int, percent: int) -> DataFrame:
     """Deals the members of each group to blocks, so that each that isn't of the group's major label
-    meets each member in one of them. ``rows``: ``group``, ``rep``, ``label``, ``carried``; groups of
-    one label only are left out."""
-    counts = rows.groupBy(*group, "label").agg(F.count(F.lit(1)).alias("n"))
-    groups = counts.groupBy(*group).agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.max("n").alias("n_major"), F.sum("n").alias("n_all"), F.count(F.lit(1)).alias("n_labels"))
-    mixed = groups.where("n_labels > 1").select(*group, "major", F.ceil(F.col("n_major") / block).alias("majors"), F.ceil((F.col("n_all") - F.col("n_major")) / block).alias("minors"))
-    rest = rows.join(mixed, group).withColumn("is_major", F.col("label") == F.col("major"))
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("rep"), F.when(F.col("is_major"), F.col("majors")).otherwise(F.col("minors"))))
-    zero = F.lit(0).cast("long")
-    spot = lambda i, j, major, side: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), F.lit(major).alias("with_major"), F.lit(side).alias("side"))
+    meets each member that its size lets it link with in one of them. ``rows``: ``group``, ``rep``,
+    ``label``, ``n_shingles``, ``carried``; groups of one label only are left out.
+
+    Members are dealt to cells by size class, being of the major label or not, and hash; two cells
+    make a block if their classes are next to each other and one isn't of the major label. The
+    blocks are grouped by one column of their own, so that a group's blocks go to many tasks."""
+    rows = rows.withColumn("size_class", _size_class(percent))
+    counts = rows.groupBy(*group, "label", "size_class").agg(F.count(F.lit(1)).alias("n"))
+    labels = counts.groupBy(*group, "label").agg(F.sum("n").alias("n"))
+    groups = labels.groupBy(*group).agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.count(F.lit(1)).alias("n_labels")).where("n_labels > 1").drop("n_labels")
+    of_major = F.col("label") == F.col("major")
+    cells = counts.join(groups, group).groupBy(*group, "major", "size_class").agg(
+        F.ceil(F.coalesce(F.sum(F.when(~of_major, F.col("n"))), F.lit(0)) / block).alias("minors"), F.ceil(F.coalesce(F.sum(F.when(of_major, F.col("n"))), F.lit(0)) / block).alias("majors")
+    )  # a group has few classes: they grow with the logarithm of the longest text
+    cells = cells.groupBy(*group, "major").agg(F.map_from_entries(F.collect_list(F.struct("size_class", F.struct("minors", "majors")))).alias("cells"))
+    rest = rows.join(cells, group).withColumn("is_major", of_major)
+
+    def many(offset: int, kind: str):
+        """The numbers of the cells of a kind whose class is ``offset`` from the row's own."""
+        n = F.coalesce(F.try_element_at("cells", F.col("size_class") + offset)[kind], F.lit(0).cast("long"))
+        return F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<long>"))
+
+    own = F.when(F.col("is_major"), F.col("cells")[F.col("size_class")]["majors"]).otherwise(F.col("cells")[F.col("size_class")]["minors"])
+    rest = rest.withColumn("at", F.pmod(F.xxhash64("rep"), own))
+
+    def spot(ci, i, cj, j, major: bool, side: int):
+        return F.struct(F.struct(ci.alias("ci"), i.alias("i"), cj.alias("cj"), j.alias("j"), F.lit(major).alias("with_major")).alias("spot"), F.lit(side).alias("side"))
+
+    c, at = F.col("size_class"), F.col("at")
+    with_majors = lambda d: F.transform(many(d, "majors"), lambda j: spot(c, at, c + d, j, True, 0))
+    with_minors = lambda d: F.transform(many(d, "minors"), lambda i: spot(c + d, i, c, at, True, 1))
     as_minor = F.concat(
-        F.transform(F.sequence(zero, F.col("majors") - 1), lambda j: spot(F.col("block"), j, True, 0)),
-        F.transform(F.sequence(F.col("block"), F.col("minors") - 1), lambda j: spot(F.col("block"), j, False, 0)),
-        F.transform(F.sequence(zero, F.col("block")), lambda i: spot(i, F.col("block"), False, 1)),
+        *map(with_majors, (-1, 0, 1)),
+        F.transform(many(1, "minors"), lambda j: spot(c, at, c + 1, j, False, 0)),
+        F.transform(many(-1, "minors"), lambda i: spot(c - 1, i, c, at, False, 1)),
+        F.transform(F.filter(many(0, "minors"), lambda j: j >= at), lambda j: spot(c, at, c, j, False, 0)),
+        F.transform(F.filter(many(0, "minors"), lambda i: i <= at), lambda i: spot(c, i, c, at, False, 1)),
     )
-    as_major = F.transform(F.sequence(zero, F.col("minors") - 1), lambda i: spot(i, F.col("block"), True, 1))
-    kept = [*group, "rep", "label", *carried]
-    return rest.select(*kept, F.explode(F.when(F.col("is_major"), as_major).otherwise(as_minor)).alias("at")).select(*kept, "at.*").groupBy(*group, "i", "j", "with_major")
+    as_major = F.concat(*map(with_minors, (-1, 0, 1)))
+    kept = [*group, "rep", "label", "n_shingles", *carried]
+    dealt = rest.select(*kept, F.explode(F.when(F.col("is_major"), as_major).otherwise(as_minor)).alias("to")).select(*kept, "to.*")
+    return dealt.withColumn("spot", F.struct(*group, "spot.*"))
 
 
 def _labelled(rows: DataFrame, labels: DataFrame, name: str) -> DataFrame:
@@ -260,7 +294,7 @@ def _labelled(rows: DataFrame, labels: DataFrame, name: str) -> DataFrame:
     return rows.join(labels.select(F.col("node").alias("rep"), F.col("label").alias("of")), "rep", "left").withColumn(name, F.coalesce("of", "rep")).drop("of")
 
 
-def _families(classes: DataFrame) -> DataFrame:
+def _families(classes: DataFrame, percent: int) -> DataFrame:
     """``node``, ``label`` for classes that have a near one: components of nearness."""
     own = classes.select("rep", "marks", "n_shingles")
     bands = classes.select("rep", F.explode("bands").alias("key"))
@@ -274,7 +308,7 @@ def _families(classes: DataFrame) -> DataFrame:
     # members that are apart, though none of them is the hub they have been compared with
     placed = written(_labelled(members.select("key", "rep"), labels, "label"), "placed")
     several = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    late = _dealt(placed.join(several, "key").join(own, "rep"), ["key"], ["marks", "n_shingles"], BLOCK).applyInPandas(_near_block, "a long, b long")
+    late = _dealt(placed.join(several, "key").join(own, "rep"), ["key"], ["marks"], BLOCK, percent).groupBy("spot").applyInPandas(_near_block, "a long, b long")
     late = written(late.distinct(), "late")
     return labels if late.isEmpty() else components(near.union(late))
 
@@ -284,20 +318,59 @@ def _links(families: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     where = families.select(F.col("node").alias("rep"), F.col("label").alias("family"))
     few = where.count() <= BROADCAST_ROWS
     texts = docs.select(F.col("doc_id").alias("rep"), "text").join(F.broadcast(where) if few else where, "rep").groupBy("family", "rep").agg(F.min("text").alias("text"))
-    sets = written(texts.mapInArrow(_items(k), schema("family long, rep long, items binary")), "sets")
+    sets = written(texts.mapInArrow(_items(k), schema("family long, rep long, items binary")), "sets").withColumn("n_shingles", (F.octet_length("items") / 8).cast("long"))
     one = F.col("family") == F.col("rep")
     counts = where.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / SETS).alias("parts"))
     dealt = sets.join(counts, "family")
     parts = F.when(one, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), F.col("parts"))))
-    dealt = dealt.select("family", "rep", F.col("rep").alias("label"), "items", F.when(one, 0).otherwise(1).alias("side"), F.explode(parts).alias("part"))
-    stars = written(dealt.groupBy("family", "part").applyInPandas(_link_block(percent), "a long, b long"), "star_links")
+    dealt = dealt.select("family", "rep", F.col("rep").alias("label"), "items", F.when(one, 0).otherwise(1).alias("side"), F.explode(parts).alias("part")).withColumn("spot", F.struct("family", "part"))
+    stars = written(dealt.groupBy("spot").applyInPandas(_link_block(percent), "a long, b long"), "star_links")
     linked = stars.select(F.col("b").alias("node"), F.col("a").alias("label"))
     rows = _labelled(sets, linked, "label")
-    apart = written(rows.where("label <> family").select("family").distinct(), "apart")
-    more = _dealt(rows.join(apart, "family"), ["family"], ["items"], SETS).applyInPandas(_link_block(percent), "a long, b long")
+    apart = written(rows.where("label <> family").select("family").distinct().join(counts, "family"), "apart")
+    left = rows.join(apart, "family")
+    if not apart.where("parts > 1").isEmpty():
+        parted = _parted(left.where("parts > 1"), percent)
+        left = left.where("parts = 1").select(*rows.columns).union(left.where("parts > 1").drop("family", "parts").join(parted, "rep").select(*rows.columns))
+    more = _dealt(left.select(*rows.columns), ["family"], ["items"], SETS, percent).groupBy("spot").applyInPandas(_link_block(percent), "a long, b long")
     return stars.union(written(more, "more_links"))
 
 
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(family, rep, n_shingles, items) to a row for each shingle."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 256):
+            b = batch.slice(i, 256)
+            found = [np.frombuffer(x.as_py(), np.int64) for x in b.column(3)]
+            row = pa.array(np.repeat(np.arange(b.num_rows), [len(x) for x in found]))
+            yield pa.RecordBatch.from_arrays([*(c.take(row) for c in b.columns[:3]), pa.array(np.concatenate(found) if found else np.empty(0, np.int64))], ["family", "rep", "n_shingles", "term"])
+
+
+def _parted(sets: DataFrame, percent: int) -> DataFrame:
+    """``rep``, ``family`` for members of large families: the family falls into the parts that rare
+    shingles hold together; who shares none is left out.
+
+    Shingles are taken in the order of how many members hold them, then of their hash. Of two linked
+    sets of ``n`` <= ``m`` shingles at least ceil(percent m / 100) and ceil(2 percent n / (100 + percent)) are
+    shared, so the first shared one is among the first m + 1 less that many of the larger set and the
+    first n + 1 less that many, fewer, of the smaller one: links lie within the components of members
+    and shingles that some member holds so early. The edges are linear in the sets; a shingle of one member only
+    makes none, so members that are alike in a common frame only come apart here.
+    """
+    terms = sets.select("family", "rep", "n_shingles", "items").mapInArrow(_terms, schema("family long, rep long, n_shingles long, term long"))
+    shared = terms.groupBy("family", "term").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
+    held = terms.join(shared, ["family", "term"])
+    of_one = Window.partitionBy("rep")
+    alone = F.col("n_shingles") - F.count(F.lit(1)).over(of_one)  # these come first
+    rank = alone + F.row_number().over(of_one.orderBy("holders", "term"))
+    late = F.col("n_shingles") + 1 - F.expr(f"({percent} * n_shingles + 99) div 100")
+    early = F.col("n_shingles") + 1 - F.expr(f"({2 * percent} * n_shingles + {99 + percent}) div {100 + percent}")
+    rare = held.withColumn("rank", rank).where(F.col("rank") <= late).select("family", "rep", "term", (F.col("rank") <= early).alias("early"))
+    rare = written(rare, "rare")
+    hubs = rare.groupBy("family", "term").agg(F.min("rep").alias("hub"), F.max("rep").alias("most"), F.bool_or("early").alias("early")).where("hub <> most AND early").select("family", "term", "hub")
+    return components(rare.join(hubs, ["family", "term"]).select(F.col("hub").alias("a"), F.col("rep").alias("b"))).select(F.col("node").alias("rep"), F.col("label").alias("family"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` (the smallest id reachable over links), ``kept``.
 
@@ -305,15 +378,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     Documents are linked if 100 x intersection >= ``percent`` x union of their shingle sets. Null
     and empty texts and texts without words have an empty set and no link. Rows without an id are
     returned with their set size, no component and ``kept`` true, and link nothing. Rows that repeat
-    an id must repeat its text; ``kept`` is that of the id, so all of them have the same. An empty table gives an empty result. ``percent`` should be 80 or
-    more: the bands are set for that.
+    an id must repeat its text; ``kept`` is that of the id, so all of them have the same. Ties don't
+    arise: ids are compared. Texts may be of any length; a set is held whole by the task that makes it. An empty
+    table gives an empty result. ``percent`` should be 80 or more: the bands are set for that.
     """
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     made = written(docs.mapInArrow(_sketch(k), schema("doc_id long, n_shingles long, class binary, bands array<long>, marks binary")), "sketches")
     found = made.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("class").agg(F.min_by(F.struct("doc_id", "n_shingles", "bands", "marks"), "doc_id").alias("c"))
     classes = written(found.select("class", F.col("c.doc_id").alias("rep"), "c.n_shingles", "c.bands", "c.marks"), "classes")
-    labels = components(_links(_families(classes), docs, k, percent))
+    labels = components(_links(_families(classes, percent), docs, k, percent))
     ids = _labelled(classes.select("class", "rep"), labels, "of_class").select("class", "of_class")
     out = made.select("doc_id", "n_shingles", "class").join(ids, "class", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("of_class", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

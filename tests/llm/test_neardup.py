@@ -104,6 +104,73 @@ def test_odd_tables(docs_of, rows):
         assert r.kept if r.doc_id is None else r.component_id == (1 if rows[0][1] else r.doc_id)
 
 
+def test_a_family_that_shares_a_frame_only(docs_of, monkeypatch):
+    """5,000 pages at a likeness of 0.7, none linked but the planted ones: none of the rest gets to a block."""
+    rng = np.random.default_rng(4)
+    frame = " ".join(f"f{i}" for i in range(165))
+    text = lambda seed, n=35: frame + " " + " ".join(f"x{seed}_{i}" for i in range(n))
+    rows = [(i + 10, text(i)) for i in range(5000)]
+    rows += [(9001, text(17) + " y"), (9002, text(17) + " y z"), (9003, frame.upper() + " " + text(4999).split(" ", 165)[165] + " w")]
+    rng.shuffle(rows)
+    rows = [(int(i), t) for i, t in rows]
+    sent = []
+    dealt = neardup._dealt
+
+    def spy(left, group, carried, block, percent):
+        out = dealt(left, group, carried, block, percent)
+        if group == ["family"]:
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "_dealt", spy)
+    found = {r.doc_id: r.component_id for r in near_duplicates(docs_of(rows), k=2).collect()}
+    assert found == {i: 27 if i in (9001, 9002) else 5009 if i == 9003 else i for i, _ in rows}
+    assert sum(sent) <= 40
+
+
+def test_blocks_are_not_dealt_by_their_group(docs_of, monkeypatch):
+    """Below each step over blocks stands an exchange on the block, not only one on its family or key."""
+    plans = []
+    write = neardup.written
+
+    def spy(df, label):
+        if label in ("late", "star_links", "more_links"):
+            plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, label)
+
+    monkeypatch.setattr(neardup, "written", spy)
+    near_duplicates(docs_of(families(np.random.default_rng(2), 4, 30, 9)), k=2).collect()
+    assert {x for x, _ in plans} >= {"late", "star_links", "more_links"}
+    for _, plan in plans:
+        below = plan[plan.index("FlatMapGroupsInPandas") :].split("\n")[1:4]
+        assert any("Exchange hashpartitioning(spot" in line for line in below), below
+
+
+def test_sizes_of_links_are_of_neighbouring_classes(spark):
+    rows = [(n, m) for m in range(1, 400) for n in range(1, m + 1) if 100 * n >= 80 * m]
+    df = spark.createDataFrame(rows, "n long, m long")
+    a, b = ([r[0] for r in df.select(F.col(c).alias("n_shingles")).select(neardup._size_class(80)).collect()] for c in "nm")
+    assert all(0 <= y - x <= 1 for x, y in zip(a, b, strict=True))
+
+
+def test_components_of_a_chain_with_its_least_node_at_the_end(spark):
+    from strandflow.llm.components import _labelled
+
+    chain = [*range(1, 2000), 0]
+    labels, rounds = _labelled(spark.createDataFrame(list(zip(chain[:-1], chain[1:], strict=True)), "a long, b long"))
+    assert {r.label for r in labels.collect()} == {0} and labels.count() == 2000 and rounds <= 15
+
+
+def test_components_of_random_links(spark):
+    rng = np.random.default_rng(5)
+    links = [tuple(map(int, x)) for x in rng.integers(0, 300, (180, 2))]
+    up = list(range(300))
+    for a, b in links * 300:
+        up[a] = up[b] = min(up[a], up[b])
+    found = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert found == {x: up[x] for a, b in links if a != b for x in (a, b)}
+
+
 def test_components_of_long_chains(spark):
     links = [(i, i + 1) for i in range(200)] + [(1000, 900), (900, 950), (7000, 7000), (None, 3)]
     found = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
