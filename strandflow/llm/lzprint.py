@@ -10,7 +10,8 @@ four digits a slot; ``EMPTY`` stands in a slot without phrases.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ SLOTS = 64
 EMPTY = 0xFFFF
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
+#: Code points from which on phrases are kept in arrays, some 40 bytes each, instead of dictionaries, some 600.
+LONG = 1 << 20
 
 
 class Parse:
@@ -52,35 +55,81 @@ class Parse:
         self.node, self.at = node, self.at + len(text)
 
 
+def long_ends(text: str) -> array:
+    """Where the phrases of a text end, as ``Parse`` finds them: the tree is one table from (phrase,
+    next character) to phrase, with open addressing in arrays."""
+    ends = array("q")
+    size, mask = 1 << 16, (1 << 16) - 1
+    keys, below = array("Q", bytes(8 * size)), array("I", bytes(4 * size))
+    node = made = 0
+    for i, char in enumerate(text, 1):
+        key = node * 0x110000 + ord(char) + 1
+        slot = (key * 0x9E3779B97F4A7C15 >> 24) & mask
+        while (there := keys[slot]) != key and there:
+            slot = (slot + 1) & mask
+        if there:
+            node = below[slot]
+            continue
+        made += 1
+        keys[slot], below[slot], node = key, made, 0
+        ends.append(i)
+        if 2 * made > size:
+            size, old, old_below = 2 * size, keys, below
+            mask = size - 1
+            keys, below = array("Q", bytes(8 * size)), array("I", bytes(4 * size))
+            for key, value in zip(old, old_below, strict=True):
+                if key:
+                    slot = (key * 0x9E3779B97F4A7C15 >> 24) & mask
+                    while keys[slot]:
+                        slot = (slot + 1) & mask
+                    keys[slot], below[slot] = key, value
+    return ends
+
+
+def phrase_ends(text: str) -> Sequence[int]:
+    if len(text) >= LONG:
+        return long_ends(text)
+    parse = Parse()
+    parse.feed(text)
+    return parse.ends
+
+
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def marks(text: str, ends: list[int]) -> np.ndarray:
-    """The fingerprint as 16-bit numbers. A last piece that is a phrase already adds nothing."""
+def marks(text: str, ends: Sequence[int], most: int = 1 << 19) -> np.ndarray:
+    """The fingerprint as 16-bit numbers. A last piece that is a phrase already adds nothing. Phrases
+    are hashed in pieces of about ``most`` code points."""
     out = np.full(SLOTS, EMPTY, np.uint16)
-    if not ends:
+    if not len(ends):
         return out
-    codes = code_points(text).astype(U) + U(1)
-    total = np.zeros(len(codes) + 1, U)
-    np.cumsum(codes * tb.powers(_BASE, len(codes)), out=total[1:])
     stop = np.array(ends, np.int64)
     start = np.concatenate([[0], stop[:-1]])
-    hashes = tb.mix((total[stop] - total[start]) * tb.powers(_INVERSE, len(codes) + 1)[start] + (stop - start).astype(U))
-    hashes.sort()
-    slot = (hashes >> U(58)).astype(np.int64)
-    first = np.ones(len(slot), bool)
-    first[1:] = slot[1:] != slot[:-1]
+    least, held = np.full(SLOTS, np.iinfo(U).max), np.zeros(SLOTS, bool)
+    a = 0
+    while a < len(stop):
+        b = max(a + 1, int(np.searchsorted(stop, start[a] + most, "right")))
+        base = int(start[a])
+        codes = code_points(text[base : int(stop[b - 1])]).astype(U) + U(1)
+        total = np.zeros(len(codes) + 1, U)
+        np.cumsum(codes * tb.powers(_BASE, len(codes)), out=total[1:])
+        s, e = start[a:b] - base, stop[a:b] - base
+        hashes = tb.mix((total[e] - total[s]) * tb.powers(_INVERSE, len(codes) + 1)[s] + (e - s).astype(U))
+        hashes.sort()
+        slot = (hashes >> U(58)).astype(np.int64)
+        first = np.ones(len(slot), bool)
+        first[1:] = slot[1:] != slot[:-1]
+        least[slot[first]] = np.minimum(least[slot[first]], hashes[first])
+        held[slot[first]] = True
+        a = b
     # the least of a slot is close to 0: its bits are mixed again so that all 16 count
-    kept = (tb.mix(hashes[first]) >> U(48)).astype(np.uint16)
-    out[slot[first]] = np.minimum(kept, EMPTY - 1)
+    out[held] = np.minimum((tb.mix(least[held]) >> U(48)).astype(np.uint16), EMPTY - 1)
     return out
 
 
 def fingerprint(text: str) -> str:
-    parse = Parse()
-    parse.feed(text)
-    return as_hex(marks(text, parse.ends))
+    return as_hex(marks(text, phrase_ends(text)))
 
 
 def as_hex(found: np.ndarray) -> str:
@@ -103,6 +152,9 @@ def edited(text: str, following: str) -> tuple[str, str]:
 def _both(text: str, following: str) -> tuple[np.ndarray, np.ndarray, str]:
     """The marks of a text and of its edited text, and the latter's digest; the first part is parsed once."""
     stays, put = edited(text, following)
+    if len(text) >= LONG:
+        other = stays + put
+        return marks(text, phrase_ends(text)), marks(other, phrase_ends(other)), hashlib.sha256(other.encode()).hexdigest()
     parse = Parse()
     parse.feed(stays)
     at, node, known = parse.at, parse.node, len(parse.ends)
@@ -124,9 +176,7 @@ _SPEC = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerpr
 def _record(text: str, following: str, ahead: np.ndarray | None = None) -> tuple[tuple, np.ndarray]:
     own, other, digest = _both(text, following)
     if ahead is None:
-        parse = Parse()
-        parse.feed(following)
-        ahead = marks(following, parse.ends)
+        ahead = marks(following, phrase_ends(following))
     return (len(text), digest, as_hex(own), as_hex(other), likeness(own, other), likeness(own, ahead)), own
 
 
@@ -162,9 +212,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if last is not None:
         if held:
             doc, n, sha, mine, its = held.pop()
-            parse = Parse()
-            parse.feed(last[1])
-            rows.append((doc, n, sha, as_hex(mine), as_hex(its), likeness(mine, its), likeness(mine, marks(last[1], parse.ends)), None, last[2], None))
+            rows.append((doc, n, sha, as_hex(mine), as_hex(its), likeness(mine, its), likeness(mine, marks(last[1], phrase_ends(last[1]))), None, last[2], None))
         rows.append((last[0], *none, "last", last[2], last[1]))
         yield batch()
 
@@ -183,8 +231,9 @@ def neighbour_fingerprints(docs: DataFrame, partitions: int | None = None) -> Da
 
     The next document is the one of the next larger ``doc_id``, after the last the first; rows
     without an id come first, rows of an equal id in the order of their texts. Null texts are empty; a single row
-    is its own next. Other columns are ignored. An empty table gives an empty one. Rows are dealt to
-    ranges of ids; only the rows at the ranges' seams, two a range, are matched in a second step.
+    is its own next. Other columns are ignored. An empty table gives an empty one. Texts may be of any
+    length; two of them are held at a time. Rows are dealt to ranges of ids; only the rows at the
+    ranges' seams, two a range, are matched in a second step, whose window sees the ranges' numbers only.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -195,8 +244,11 @@ def neighbour_fingerprints(docs: DataFrame, partitions: int | None = None) -> Da
         dealt.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(_walk, schema(f"doc_id long, {_SPEC}, seam string, part int, text string")), "walked"
     )
     order = Window.orderBy("part")
-    firsts = walked.where("seam = 'first'").select("part", F.coalesce(F.lead("text").over(order), F.first("text").over(order)).alias("following"))
-    seams = walked.where("seam = 'last'").select("part", "doc_id", "text").join(firsts, "part").select("doc_id", "text", "following")
+    used = walked.where("seam = 'first'").select("part")  # a number for each range
+    used = used.select("part", F.coalesce(F.lead("part").over(order), F.first("part").over(order)).alias("after"))
+    firsts = walked.where("seam = 'first'").select(F.col("part").alias("after"), F.col("text").alias("following"))
+    lasts = walked.where("seam = 'last'").select("part", "doc_id", "text")
+    seams = lasts.join(used, "part").join(firsts, "after").select("doc_id", "text", "following")
     done = walked.where("seam IS NULL").select("doc_id", *(f.split()[0] for f in _SPEC.split(", ")))
     return done.unionAll(seams.mapInArrow(_finish, schema(f"doc_id long, {_SPEC}")))
 
@@ -215,4 +267,5 @@ def with_fingerprint(docs: DataFrame) -> DataFrame:
 
 
 def op7_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all ``documents``; nulls, repeated rows and long texts as in ``neighbour_fingerprints``."""
     return neighbour_fingerprints(table(spark, sf_dir, "documents"))

@@ -31,6 +31,8 @@ HIDDEN, EMBED, ATTEND = 8, 16, 8
 WORD_ROWS, CHAR_ROWS = 1 << 14, 1 << 14
 #: Labelled texts that training sees at most, half of them of each label where there are enough.
 TRAIN_ROWS = 2400
+#: Bytes of the longest text that training takes; longer ones are scored only.
+TRAIN_BYTES = 1 << 16
 STEPS, BATCH, RATE = 260, 32, 0.01
 #: Embeddings learn more slowly than the rest; standard deviations that count as 1, and at most.
 EMBED_RATE, SCALE, MOST = 0.1, 4.0, 3.0
@@ -119,6 +121,13 @@ class Network:
         out[:, 1] += np.maximum.reduceat(self.p["char"][v.grams, 0], v.cuts[:-1])
         return out
 
+    def loudest(self, v: Vocabulary) -> np.ndarray:
+        """The place in ``v.grams`` of each word's most surprising n-gram, the first of equal ones."""
+        value, per = self.p["char"][v.grams, 0], np.diff(v.cuts)
+        most = np.repeat(np.maximum.reduceat(value, v.cuts[:-1]), per)
+        at = np.where(value == most, np.arange(len(value)), len(value))
+        return np.minimum.reduceat(at, v.cuts[:-1])
+
     def forward(self, inputs: np.ndarray, ids: np.ndarray, begin: np.ndarray, size: np.ndarray, keep: bool = False):
         """Logits of windows of the words ``ids[begin : begin + size]``, the rows of ``inputs``."""
         n, p = len(begin), self.p
@@ -193,15 +202,21 @@ class Network:
         if len(v.word):
             g["word"] = (v.word, d_inputs)
             per = np.diff(v.cuts)
-            g["char"] = (v.grams, np.repeat(d_inputs / per[:, None].astype(np.float32), per, axis=0))
+            d_grams = np.repeat(d_inputs / per[:, None].astype(np.float32), per, axis=0)
+            d_grams[self.loudest(v), 0] += d_inputs[:, 1]
+            g["char"] = (v.grams, d_grams)
         return g
 
+    def logits(self, inputs: np.ndarray, ids: np.ndarray, begin: np.ndarray, size: np.ndarray, most: int = 2048) -> np.ndarray:
+        """Of any number of windows, ``most`` at a time."""
+        return np.concatenate([self.forward(inputs, ids, begin[i : i + most], size[i : i + most]) for i in range(0, len(begin), most)])
+
     def scores(self, data: np.ndarray, offsets: np.ndarray, most: int = 2048) -> np.ndarray:
         """The score of each row: the highest of its windows, as a probability."""
         ids, counts, v = tokens(data, offsets)
         inputs = self.embedded(v)
         begin, size, row = windows(counts)
-        logit = np.concatenate([self.forward(inputs, ids, begin[i : i + most], size[i : i + most]) for i in range(0, len(begin), most)])
+        logit = self.logits(inputs, ids, begin, size, most)
         best = np.maximum.reduceat(logit, np.searchsorted(row, np.arange(len(counts))))
         return 1 / (1 + np.exp(-best.astype(np.float64)))
 
@@ -252,7 +267,7 @@ def train(texts: list[str], labels: np.ndarray, steps: int = STEPS, seed: int =
         part = Vocabulary(v.word[used], grams_of(v, used) if len(used) else v.grams[:0], np.concatenate([[0], np.cumsum(per)]))
         begin, size, row = windows(counts[chosen])
         inputs = net.embedded(part)
-        logit = net.forward(inputs, own, begin, size)
+        logit = net.logits(inputs, own, begin, size)
         heads = np.searchsorted(row, np.arange(len(chosen)))
         top = np.array([h + int(np.argmax(logit[h:e])) for h, e in zip(heads, [*heads[1:], len(row)], strict=True)])
         y = labels[chosen].astype(np.float32)
@@ -275,14 +290,15 @@ def train(texts: list[str], labels: np.ndarray, steps: int = STEPS, seed: int =
 
 def fitted(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Network:
     """A network trained on at most ``rows`` labelled texts, those of the least hashes, whose
-    crc32(doc_id) mod 5 isn't 0. Null labels and null ids are left out; of an id's labels the
+    crc32(doc_id) mod 5 isn't 0; of these, texts of more than TRAIN_BYTES are left out, so the driver gets
+    ``rows`` x TRAIN_BYTES at most. Null labels and null ids are left out; of an id's labels the
     greatest counts."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     known = known.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     least = F.xxhash64("doc_id", F.lit(11))
     half = lambda y: known.where(F.col("toxic") == y).orderBy(least, "doc_id").limit(rows // 2)
     chosen = half(0).union(half(1))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_BYTES)
     found = texts.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").toPandas()
     return train(list(found["text"]), found["toxic"].to_numpy().astype(int))
 
@@ -308,12 +324,14 @@ def score_column(docs: DataFrame, net: Network) -> DataFrame:
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted``. A null text counts as empty and gets the
-    score of an empty window; an empty table gives an empty one; other columns pass through, but
-    those named ``score`` and ``predicted`` are replaced."""
+    score of an empty window; texts may be of any length, all their windows are scored; repeated rows
+    are each scored; an empty table gives an empty one; other columns pass through, but those named
+    ``score`` and ``predicted`` are replaced."""
     return score_column(docs.drop("predicted"), fitted(docs, labels, rows)).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all ``documents`` by a network trained on ``labels``; nulls and repeated rows as in ``toxicity``."""
     docs = table(spark, sf_dir, "documents")
     scored = toxicity(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0

@@ -66,3 +66,35 @@ def test_odd_tables(docs_of, rows):
     got = lz.neighbour_fingerprints(docs_of(rows)).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute(rows)
     assert lz.with_fingerprint(docs_of(rows).withColumn("fingerprint", F.lit(3))).count() == len(rows)
+
+
+def test_long_texts_have_the_same_phrases(monkeypatch):
+    import random
+
+    from strandflow.llm import lzprint
+
+    draw = random.Random(3)
+    texts = ["".join(draw.choices("abc é\U0001f600", k=n)) for n in (0, 1, 5, 3000, 60_000)] + ["a" * 5000]
+    whole = [(lzprint.fingerprint(t), [lzprint._record(t, u)[0] for u in texts[:4]]) for t in texts]
+    monkeypatch.setattr(lzprint, "LONG", 2)
+    assert [(lzprint.fingerprint(t), [lzprint._record(t, u)[0] for u in texts[:4]]) for t in texts] == whole
+    for t in texts:
+        parse = lzprint.Parse()
+        parse.feed(t)
+        assert lzprint.long_ends(t).tolist() == parse.ends
+        assert (lzprint.marks(t, parse.ends, most=100) == lzprint.marks(t, parse.ends)).all()
+
+
+def test_memory_of_a_long_text():
+    """No more than 40 bytes a character beyond the text; phrases in dictionaries took twice that."""
+    import random
+    import tracemalloc
+
+    from strandflow.llm import lzprint
+
+    text = "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz     ", k=500_000))
+    tracemalloc.start()
+    found = lzprint.marks(text, lzprint.long_ends(text))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 << 20 and (found != lzprint.EMPTY).all()

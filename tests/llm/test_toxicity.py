@@ -61,6 +61,35 @@ def test_gradients_are_those_of_differences():
             low = loss()
             flat[i] = was
             assert found[name].reshape(-1)[i] == pytest.approx((high - low) / 2e-4, abs=2e-4)
+    for name in ("word", "char"):
+        dense = np.zeros(net.p[name].shape)
+        np.add.at(dense, found[name][0], found[name][1])
+        assert np.abs(dense[:, 0]).max() > 0
+        for row in np.unique(found[name][0]):
+            for column in (0, 1, 7):
+                was = net.p[name][row, column]
+                net.p[name][row, column] = was + 1e-4
+                high = loss()
+                net.p[name][row, column] = was - 1e-4
+                low = loss()
+                net.p[name][row, column] = was
+                assert dense[row, column] == pytest.approx((high - low) / 2e-4, abs=2e-4)
+
+
+def test_training_takes_windows_in_parts_and_no_very_long_text(docs_of, monkeypatch):
+    texts, labels = corpus(60, 2)
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000, "dolt " * 40_000)]
+    spark_docs = docs_of(rows)
+    marks = spark_docs.sparkSession.createDataFrame([(i, 1, int(y)) for i, y in enumerate(labels)] + [(1000, 1, 1)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(tx, "train", lambda found, y: seen.extend(found))
+    tx.fitted(spark_docs, marks)
+    assert seen and max(map(len, seen)) <= tx.TRAIN_BYTES
+    net = tx.Network(1)
+    data, offsets = tb.utf8(pa.array(["a b c " * 900], pa.string()))
+    ids, counts, v = tx.tokens(data, offsets)
+    begin, size, _ = tx.windows(counts)
+    assert np.allclose(net.logits(net.embedded(v), ids, begin, size, 7), net.forward(net.embedded(v), ids, begin, size), atol=1e-5)
 
 
 def test_windows_cover_all_words():
