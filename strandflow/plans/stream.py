@@ -322,7 +322,7 @@ class Planner:
                 flag = flag & Binder(own).predicate(part)
             without = F.col(f"`{s.event}`").isin(self.events(s, step.without)) if step.without else None
             skippable = step.repeat == "*" and 0 < i < len(steps) - 1
-            out.append(PatternStep(name, flag, binds, without, step.immediately, skippable))
+            out.append(PatternStep(name, flag, binds, without, step.immediately, skippable, bool(step.repeat)))
         return out
 
     def stage_match(self, s: Stream, stage: n.Match, rest: tuple) -> Stream:
@@ -332,8 +332,6 @@ class Planner:
             raise InvalidComposition("a pattern needs a step")
         steps = self.pattern(s, stage.steps)
         seen = [x.name for x in steps]
-        if stage.emit_all and stage.mode == "all" and any(x.without is not None for x in steps) and stage.within is None:
-            pass  # partial matches that were cut off by WITHOUT count as still open
         wanted = named(rest)
         carry: dict[str, list[str]] = {}
         for name in wanted:

@@ -131,10 +131,20 @@ def brute(events, steps, mode, within, without, emit_all):
             last = end
     out = [(full, end - t) for t, end in kept]
     if emit_all:
-        out += [(k, None) for k, _, t in best.values() if k < full and not any(end >= t and (within is None or end - t <= within) for _, end in kept)]
+        for i, (k, _, t) in best.items():
+            if k < full and not any(end >= t and (within is None or end - t <= within) and open_at(events, steps, within, without, i, end) for _, end in kept):
+                out.append((k, None))
     return out
 
 
+def open_at(events, steps, within, without, start, end):
+    """Whether a first event has a chain that may go on after the completion at time ``end``."""
+    done = min(j for j in range(len(events)) if events[j][0] == end and any(c[-1] == j and len(c) == len(steps) for i in range(j + 1) if events[i][1] == steps[0] for c in chains(events, steps, within, without, i)))
+    if start > done:
+        return True  # it isn't begun, being no later
+    return any(c[-1] <= done and len(c) < len(steps) and not any(events[j][1] in without.get(len(c), ()) for j in range(c[-1] + 1, done + 1)) for c in chains(events, steps, within, without, start))
+
+
 @pytest.mark.parametrize("mode", ["first", "all"])
 @pytest.mark.parametrize("within", [None, 12])
 @pytest.mark.parametrize("without", [{}, {1: ("d",)}, {2: ("d",)}, {1: ("d",), 2: ("e", "a")}])
@@ -146,7 +156,7 @@ def test_against_all_chains(spark, mode, within, without):
     gap = lambda k: f" WITHOUT ({' OR '.join(without[k])})" if len(without.get(k, ())) > 1 else f" WITHOUT {without[k][0]}" if k in without else ""
     pattern = f"a{gap(1)} THEN b{gap(2)} THEN c"
     limit = f" WITHIN {within}s" if within else ""
-    for emit in (False, True) if mode == "first" or not without else (False,):
+    for emit in (False, True):
         out = {}
         for r in e.query(f"events | MATCH {mode.upper()} SEQUENCE({pattern}){limit}{' EMIT ALL' * emit}").collect():
             out.setdefault(r.entity_id, []).append((r.step_reached if emit else 3, None if r.match_duration is None else r.match_duration // 10**9))
@@ -186,3 +196,83 @@ def test_brackets_against_all_chains(spark, cumulative):
             steps = [2 if h else 1 if i == 0 else 0 for i, h in enumerate(hits)]
             wanted += [(u, i, max(steps[: i + 1]) if cumulative else steps[i]) for i in range(3)]
     assert rows(e.query(q)) == sorted(wanted, key=str)
+
+
+def ends(events, steps, start):
+    """The ends of all chains of steps (kind, repeat, immediately, without) from one first event, and how far chains get."""
+    seen = [(t, k) for t, k in events if any(k == kind or k in without for kind, _, _, without in steps)]
+    found, far = set(), set()
+
+    def go(j, k, entered_at_once):
+        far.add(k)
+        if k == len(steps) - 1:
+            found.add(seen[j][0])
+            return
+        kind, repeat, at_once, _ = steps[k]
+        if repeat and k:
+            for i in range(j + 1, len(seen)):
+                near = not (entered_at_once and at_once) or i == j + 1
+                if seen[i][1] == kind and seen[i][0] > seen[j][0] and near:
+                    go(i, k, entered_at_once)
+        for to in range(k + 1, len(steps)):
+            shut = {x for s in steps[k:to] for x in s[3]}
+            for i in range(j + 1, len(seen)):
+                if seen[i][1] in shut:
+                    break
+                if seen[i][1] == steps[to][0] and seen[i][0] > seen[j][0] and (i == j + 1 or not steps[to - 1][2]):
+                    go(i, to, steps[to - 1][2])
+            if steps[to][1] != "*" or to == len(steps) - 1:
+                break
+
+    go(start, 0, False)
+    return found, max(far)
+
+
+REPEATS = [
+    [("a", "", True, ""), ("x", "+", True, ""), ("b", "", False, "")],
+    [("a", "", False, ""), ("x", "+", True, ""), ("b", "", False, "")],
+    [("a", "", True, ""), ("x", "*", True, ""), ("b", "", False, "")],
+    [("a", "", True, ""), ("x", "*", False, "c"), ("b", "", False, "")],
+    [("a", "", False, "c"), ("x", "*", False, ""), ("b", "", False, "")],
+    [("a", "", False, "c"), ("x", "*", False, "d"), ("b", "", True, ""), ("a", "", False, "")],
+    [("a", "", True, ""), ("x", "*", False, "c"), ("y", "*", True, ""), ("b", "", False, "")],
+    [("a", "", False, ""), ("x", "+", False, "c"), ("y", "*", False, "a"), ("b", "", False, "")],
+    [("x", "+", True, ""), ("x", "+", True, ""), ("b", "+", False, "")],
+]
+
+
+@pytest.mark.parametrize("steps", REPEATS)
+def test_repeats_against_all_chains(spark, steps):
+    rng = random.Random(str(steps))
+    streams = {u: sorted(((rng.randrange(25), rng.choice("aaxxxybcd")) for _ in range(rng.randrange(0, 9))), key=lambda e: e[0]) for u in range(150)}
+    streams |= {1000: [(1, "a"), (2, "x"), (3, "x"), (4, "b")], 1001: [(1, "a"), (2, "x"), (3, "b")], 1002: [(1, "a"), (2, "x"), (3, "c"), (4, "b")], 1003: [(1, "a"), (2, "b")]}
+    e = engine_of(spark, [(u, t, k) for u, s in streams.items() for t, k in s], columns="")
+    text = ""
+    for i, (kind, repeat, _, _) in enumerate(steps):
+        before = steps[i - 1]
+        text += (f"{f' WITHOUT {before[3]}' * bool(before[3])} THEN {'IMMEDIATELY ' * before[2]}" if i else "") + f"s{i}: {kind}{repeat}"
+    out = {r.entity_id: (r.step_reached, r.match_duration and r.match_duration // 10**9) for r in e.query(f"events | MATCH FIRST SEQUENCE({text}) EMIT ALL").collect()}
+    wanted = {}
+    for u, s in streams.items():
+        seen = [(t, k) for t, k in s if any(k == kind or k in without for kind, _, _, without in steps)]
+        got = [(t, *ends(s, steps, i)) for i, (t, k) in enumerate(seen) if k == steps[0][0]]
+        done = [(min(found), t) for t, found, _ in got if found]
+        if done:
+            end, t = min(done)
+            wanted[u] = (len(steps), end - t)
+        elif got:
+            wanted[u] = (max(far for _, _, far in got) + 1, None)
+    assert out == wanted
+
+
+def test_a_variable_of_a_step_that_may_be_missing(spark):
+    s = [("a", 0, "a", None, None), ("a", 1, "x", None, "p"), ("a", 2, "b", None, None), ("b", 0, "a", None, None), ("b", 3, "b", None, None)]
+    got = found(spark, s, "MATCH FIRST SEQUENCE(a THEN (x WHERE category = $v)* THEN b)")
+    assert sorted(got, key=str) == [("a", "p", 2_000_000_000), ("a", None, 2_000_000_000), ("b", None, 3_000_000_000)]
+
+
+def test_partial_matches_that_were_shut_off_before_a_completion(spark):
+    s = plainly(("u", 0, "a"), ("u", 1, "e"), ("u", 2, "a"), ("u", 3, "b"))
+    for within in ("", " WITHIN 1h"):
+        got = found(spark, s, f"MATCH ALL SEQUENCE(a WITHOUT e THEN b){within} EMIT ALL")
+        assert sorted(got, key=str) == [("u", 1, None), ("u", 2, 1_000_000_000)]
