@@ -51,9 +51,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset, as in tests, a temporary one."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset and driver and executors are one
+    process, as in tests, a temporary one. On a cluster it has to be set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="strandflow-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         found = f"file://{found}"

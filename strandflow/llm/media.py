@@ -129,5 +129,7 @@ def digests(data: bytes) -> tuple:
 
 
 def op4_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` stored as progressive JPEGs, read back; a null text is empty, repeated rows are each stored,
+    a text may have up to 6.4 GB, what a JPEG holds."""
     stored = with_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return _per_image(stored, digests, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -106,6 +106,7 @@ def _taken(made: DataFrame, c: dict[str, str]) -> DataFrame:
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all ``documents``; nulls, repeated rows and empty tables as in ``mixed``."""
     docs = table(spark, sf_dir, "documents")
     narrow = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_hash(F.col("doc_id"), F.col("text")).alias("hash")), "narrow")
     cuts = thresholds(narrow).withColumnRenamed("source", "mix_source")

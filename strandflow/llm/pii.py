@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import ipaddress
 import math
 import re
 from collections import Counter
@@ -23,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from strandflow.llm.common import extended, ship, table
 
 ROUNDS = 8
-#: For tests and queries; a deployment passes its own.
-DEFAULT_KEY = b"strandflow: replace this key"
+#: What the sample query uses where the session has no key. It is public: never for data of others.
+SAMPLE_KEY = b"strandflow: replace this key"
 KEY_SETTING = "strandflow.pii.key"
 
 
@@ -32,6 +33,8 @@ class Permutation:
     """A keyed permutation of 0 .. size-1: Feistel rounds over a x b >= size, walked until inside."""
 
     def __init__(self, key: bytes, label: str, size: int) -> None:
+        if size >= 1 << 380:
+            raise ValueError("a format of 2^380 values or more can't be permuted")
         self.size = size
         self.a = max(1, math.isqrt(max(size - 1, 0)) + 1)
         self.b = max(1, -(-size // self.a))
@@ -71,6 +74,11 @@ def luhn_digit(digits: str) -> int:
     return -total % 10
 
 
+def _long_enough(address: str) -> bool:
+    """Whether a written IPv6 address would be found again."""
+    return any(c in _DIGITS for c in address) and len([x for x in address.split(":") if x]) >= 3 and "." not in address
+
+
 def _refill(shape: str, digits: str) -> str:
     """``digits`` put where ``shape`` has digits."""
     it = iter(digits)
@@ -102,7 +110,7 @@ def _th(day: int) -> str:
 class Pseudonyms:
     """Replaces values in texts. ``found`` counts them by kind."""
 
-    def __init__(self, key: bytes = DEFAULT_KEY, invert: bool = False) -> None:
+    def __init__(self, key: bytes, invert: bool = False) -> None:
         self.key, self.invert = key, invert
         self.known: dict[tuple[str, int], Permutation] = {}
         self.found: Counter = Counter()
@@ -124,7 +132,7 @@ class Pseudonyms:
         value = 0
         for c, a in zip(text, alphabets, strict=True):
             value = value * len(a) + a.index(c)
-        value = self.permute(f"{label} {'/'.join(f'{a[0]}{len(a)}' for a in alphabets)}", size, value) if size < 1 << 380 else value
+        value = self.permute(f"{label} {'/'.join(f'{a[0]}{len(a)}' for a in alphabets)}", size, value)
         out = []
         for a in reversed(alphabets):
             value, i = divmod(value, len(a))
@@ -152,6 +160,10 @@ class Pseudonyms:
             return None
         return f"{self.mixed('email', local)}@{domain}"
 
+    def service_key(self, s: str) -> str | None:
+        start = s.rindex("_") + 1
+        return s[:start] + self.mixed("service key", s[start:])
+
     def access_key(self, s: str) -> str | None:
         alphabet = _UPPER + _DIGITS
         return s[:4] + self.characters("access key", s[4:], [alphabet] * len(s[4:]))
@@ -168,8 +180,8 @@ class Pseudonyms:
         digits = "".join(c for c in s if c in _DIGITS)
         if not 13 <= len(digits) <= 19 or luhn_digit(digits[:-1]) != int(digits[-1]) or len(set(digits)) == 1:
             return None
-        n = len(digits) - 1
-        made = str(self.permute("card", 10**n, int(digits[:-1]), lambda v: len(set((t := str(v).zfill(n)) + str(luhn_digit(t)))) > 1)).zfill(n)
+        n, issuer = len(digits) - 2, digits[0]  # the first digit, which tells the issuer's kind, stays
+        made = issuer + str(self.permute(f"card {issuer}", 10**n, int(digits[1:-1]), lambda v: len(set((t := issuer + str(v).zfill(n)) + str(luhn_digit(t)))) > 1)).zfill(n)
         return _refill(s, made + str(luhn_digit(made)))
 
     def iban(self, s: str) -> str | None:
@@ -184,6 +196,8 @@ class Pseudonyms:
 
     def phone(self, s: str) -> str | None:
         digits = "".join(c for c in s if c in _DIGITS)
+        if re.fullmatch(r"0[0-9]{2,4}(?: [0-9]{3,4}){2}", s) and not re.fullmatch(r"[0-9]{3} [0-9]{3} [0-9]{4}", s):  # a national number; its first 0 stays
+            return _refill(s, "0" + str(self.permute("phone 0", 10 ** (len(digits) - 1), int(digits[1:]))).zfill(len(digits) - 1))
         head = re.match(r"\+([0-9]{1,3})(?=[ .(-])", s)
         country = head[1] if head else "1" if s.startswith("+1") else digits[:2] if s.startswith("+") else ""
         local = digits[len(country) :]
@@ -203,6 +217,20 @@ class Pseudonyms:
         value = int(s.replace("-", ""))
         return _refill(s, str(self.permute("social", 10**9, value, valid)).zfill(9)) if valid(value) else None
 
+    def bare_social(self, s: str) -> str | None:
+        made = self.social(s[-9:])
+        return made and s[:-9] + made
+
+    def address6(self, s: str) -> str | None:
+        """An IPv6 address; its pseudonym is written in the usual short form."""
+        try:
+            value = int(ipaddress.IPv6Address(s))
+        except ValueError:
+            return None
+        if not any(c in _DIGITS for c in s) or len([x for x in s.split(":") if x]) < 3:
+            return None  # a::b may be anything
+        return str(ipaddress.IPv6Address(self.permute("address6", 1 << 128, value, lambda v: _long_enough(str(ipaddress.IPv6Address(v))))))
+
     def address(self, s: str) -> str | None:
         parts = [int(x) for x in s.split(".")]
         if any(x > 255 for x in parts) or any(len(x) > 1 and x[0] == "0" for x in s.split(".")):
@@ -271,26 +299,31 @@ _WRITTEN = [
 _ANY = re.compile(
     r"(?P<secret>(?<![A-Za-z])(?:" + _SECRET.pattern.replace("?P<value>", "?:") + r"))"
     r"|(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9]))"
+    r"|(?P<service_key>(?<![A-Za-z0-9])(?:(?:sk|pk|rk)_(?:live|test)_[A-Za-z0-9]{16,}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]_[A-Za-z0-9]{16,})(?![A-Za-z0-9]))"
     r"|(?P<access_key>(?<![A-Z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Z0-9]))"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
     r"|(?P<phone>(?<![0-9A-Za-z+])(?:\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\+(?!1[ .(-])[0-9]{1,3}(?:[ -]?(?:\([0-9]{1,4}\)|[0-9]{1,4})){2,5}"
-    r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}|(?<![0-9] )[0-9]{3} [0-9]{3} [0-9]{4}(?! [0-9]))(?![0-9A-Za-z]|\.[0-9]))"
+    r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}|(?<![0-9] )(?:[0-9]{3} [0-9]{3} [0-9]{4}|0[0-9]{2,4} [0-9]{3,4} [0-9]{3,4})(?! [0-9]))(?![0-9A-Za-z]|\.[0-9]))"
     r"|(?P<address>(?<![0-9.A-Za-z])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9]))"
+    r"|(?P<address6>(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:|:)(?:[0-9A-Fa-f]{0,4}:){1,6}(?:[0-9A-Fa-f]{1,4})?(?![0-9A-Za-z:]|\.[0-9]))"
+    r"|(?P<bare_social>(?<![A-Za-z])(?i:ssn|social security(?: number| no\.?)?)[ :#]{1,3}[0-9]{9}(?![0-9A-Za-z]))"
     r"|(?P<social>(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-]))"
     r"|(?P<date>(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9]|[./-][0-9])"
     r"|(?<![0-9A-Za-z])(?<![0-9]\.)(?:" + "|".join(re.sub(r"\?P<\w+>", "?:", x.pattern) for x in _WRITTEN) + r")(?![0-9A-Za-z]))"
     r"|(?P<card>(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z]))"
 )
 #: Texts without any of these have nothing to replace.
-_HINT = r"[0-9@=:]|AKIA|ASIA"
+_HINT = r"[0-9@=:]|AKIA|ASIA|_"
 
 
 def pseudonymised(docs: DataFrame, key: bytes | None = None, invert: bool = False, counts: bool = True) -> DataFrame:
     """``docs`` with its ``text`` replaced, other columns as they are; with ``counts``, the column
-    ``n_replaced`` is appended (one of that name is replaced). Null texts stay null and count 0.
-    The key is the argument, else the session's ``strandflow.pii.key``, else DEFAULT_KEY."""
-    if key is None:
-        key = docs.sparkSession.conf.get(KEY_SETTING, DEFAULT_KEY.decode()).encode()
+    ``n_replaced`` is appended (one of that name is replaced). Null texts stay null and count 0;
+    texts may be of any length; repeated rows are each replaced; an empty table gives an empty one.
+    The key is the argument, else the session's ``strandflow.pii.key``; without either it is an error."""
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, "").encode()
+    if not key:
+        raise ValueError(f"pseudonyms need a key: pass one or set {KEY_SETTING}")
     ship(docs.sparkSession)
     docs = docs.drop("n_replaced") if counts else docs
     at = docs.columns.index("text")
@@ -312,5 +345,11 @@ def pseudonymised(docs: DataFrame, key: bytes | None = None, invert: bool = Fals
     return docs.mapInArrow(run, extended(docs, "n_replaced long") if counts else docs.schema)
 
 
+def sample_key(spark: SparkSession) -> bytes:
+    """The session's key, else the public one of the sample queries."""
+    return spark.conf.get(KEY_SETTING, SAMPLE_KEY.decode()).encode()
+
+
 def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """All ``documents`` with pseudonyms; nulls and repeated rows as in ``pseudonymised``."""
+    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), sample_key(spark))

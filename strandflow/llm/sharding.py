@@ -148,6 +148,7 @@ def shard(docs: DataFrame, shards: int = 40, head: int = HEAD, bucket: int = BUC
 
 
 def op1_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` in 40 shards by the law ``bytes``; nulls, repeated rows and empty tables as in ``shard``."""
     docs = table(spark, sf_dir, "documents")
     made = shard(docs.select("doc_id", "text", _unsigned(F.col("text")).alias("text_crc32")), keep_text=False)
     return made.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -1,7 +1,7 @@
 import corpus_pipeline
 from strandflow.llm import neardup, packing, toxicity
 from strandflow.llm.mixing import mixed
-from strandflow.llm.pii import pseudonymised
+from strandflow.llm.pii import pseudonymised, sample_key
 
 DATA = "/root/testdata/sf0.001"
 
@@ -20,7 +20,7 @@ def test_stages_follow_each_other(spark, monkeypatch):
     rejected = {r.doc_id for r in toxicity.toxicity(docs, labels).where("predicted = 1").collect()}
     assert ids[1] == sorted(set(ids[0]) - rejected)
     assert ids[2] == sorted(r.doc_id for r in neardup.near_duplicates(made[1], 5, 80).where("kept").collect())
-    assert ids[3] == ids[2] and {(r.doc_id, r.text) for r in made[3].collect()} == {(r.doc_id, r.text) for r in pseudonymised(made[2]).collect()}
+    assert ids[3] == ids[2] and {(r.doc_id, r.text) for r in made[3].collect()} == {(r.doc_id, r.text) for r in pseudonymised(made[2], sample_key(spark)).collect()}
     assert ids[4] == sorted(r.doc_id for r in mixed(made[3]).collect() for _ in range(r.copies))
     whole = {(r.doc_id, r.piece, r.ids_crc32, r.length) for r in packing.pack(made[4].select("doc_id", "text"), packing.vocabulary()).collect()}
     assert {(r.doc_id, r.piece, r.ids_crc32, r.length) for r in made[5].collect()} == whole

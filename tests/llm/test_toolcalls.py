@@ -59,3 +59,45 @@ def test_query_matches_sql(spark):
 def test_plan_has_no_python(spark):
     plan = op3_tool_calls(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_random_graphs_are_ordered(spark):
+    """Positions follow the latest turn that a call waits for, then the steps it takes from there."""
+    import random
+
+    rng, ok = random.Random(6), '{"a": 1, "b": 2}'
+    calls, wanted = [], {}
+    for conv in range(12):
+        turns = {f"{conv}:{i}": rng.randrange(30) for i in range(14)}
+        names = list(turns)
+        rng.shuffle(names)
+        deps = {x: rng.sample(names[:i], min(i, rng.randrange(3))) for i, x in enumerate(names)}  # no circle
+        keys = {}
+        for x in names:
+            keys[x] = max([(turns[x], 0), *((keys[d][0], keys[d][1] + 1) for d in deps[x])])
+        wanted |= {x: (conv, keys[x], deps[x]) for x in names}
+        calls += [(conv, turns[x], x, "add", ok, deps[x]) for x in names]
+    got = {k[2]: r.position for k, r in run(spark, calls, []).items()}
+    for conv in range(12):
+        own = sorted((got[x], key) for x, (c, key, _) in wanted.items() if c == conv)
+        assert [p for p, _ in own] == list(range(14)) and [k for _, k in own] == sorted(k for _, k in own)
+    assert all(got[d] < got[x] for x, (_, _, deps) in wanted.items() for d in deps)
+
+
+def test_very_long_arguments(spark):
+    calls = spark.createDataFrame([(1, 0, "c", "say", [], 25_000_000), (1, 1, "d", "say", [], 10)], "conv_id long, turn long, call_id string, name string, depends_on array<string>, n int")
+    text = F.concat(F.lit('{"words":1,"turn":2,"text":"'), F.expr("repeat('x', n)"), F.lit('"}'))
+    made = link(calls.withColumn("arguments", text), spark.createDataFrame([], "call_id string, turn long, content string"))
+    long, short = made.select("call_id", "valid", F.length("json").alias("n")).orderBy("call_id").collect()
+    assert long.valid and short.valid and long.n - short.n == 25_000_000 - 10
+
+
+def test_what_is_not_json_is_kept(spark):
+    got = run(spark, [(1, 0, "c", "add", "not json", [])], [])
+    assert json.loads(got[1, 0, "c"].json)["unread"] == "not json"
+
+
+def test_long_conversations_are_numbered_without_gaps(spark):
+    calls = spark.range(5000).selectExpr("7L AS conv_id", "id AS turn", "string(id) AS call_id", "'add' AS name", "'{}' AS arguments", "cast(array() AS array<string>) AS depends_on")
+    made = link(calls, spark.createDataFrame([], "call_id string, turn long, content string"), SCHEMAS)
+    assert made.where("position <> turn").count() == 0
