@@ -65,7 +65,7 @@ def _one_of_each(docs: DataFrame) -> DataFrame:
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents with pseudonyms in their texts; ``n_chars`` follows the text."""
-    made = pii.pseudonymised(docs, counts=False)
+    made = pii.pseudonymised(docs, pii.sample_key(spark), counts=False)
     return made.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
 
 
