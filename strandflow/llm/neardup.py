@@ -396,3 +396,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all ``documents`` by two-word shingles at a likeness of 0.8."""
     return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
+#: All pairs of classes of equal sets that share a shingle, and what is reachable over links.
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(words) = 1 THEN words[1] ELSE words[i] || ' ' || words[i + 1] END AS shingle
+      FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words), 2))) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(shingle, '  ' ORDER BY shingle)) AS class FROM s GROUP BY doc_id),
+c AS (SELECT class, min(doc_id) AS rep, any_value(n) AS n FROM n GROUP BY class),
+t AS (SELECT rep, n, shingle FROM c JOIN s ON s.doc_id = c.rep),
+shared AS (SELECT a.rep AS a, b.rep AS b, any_value(a.n + b.n) AS total, count(*) AS same FROM t a JOIN t b ON a.shingle = b.shingle AND a.rep <> b.rep GROUP BY a.rep, b.rep),
+links AS (SELECT a, b FROM shared WHERE 100 * same >= 80 * (total - same)),
+reach AS (SELECT rep AS a, rep AS b FROM c UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least AS (SELECT a, min(b) AS label FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(label, d.doc_id) AS component_id, coalesce(label, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (class) LEFT JOIN least ON least.a = c.rep"""

@@ -10,7 +10,7 @@ from strandflow.llm.htmltext import op5_extract_pages
 from strandflow.llm.lzprint import op7_lz_fingerprints
 from strandflow.llm.media import op4_progressive_jpeg
 from strandflow.llm.mixing import OP6_SQL, op6_source_mix
-from strandflow.llm.neardup import op9_near_duplicates
+from strandflow.llm.neardup import OP9_SQL, op9_near_duplicates
 from strandflow.llm.packing import op2_pack_sequences
 from strandflow.llm.pii import op8_pseudonyms
 from strandflow.llm.sharding import op1_shard_documents
@@ -33,4 +33,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_tool_calls": OP3_SQL,
     "op6_source_mix": OP6_SQL,
+    "op9_near_duplicates": OP9_SQL,
 }

@@ -176,3 +176,12 @@ def test_components_of_long_chains(spark):
     found = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {i: 0 for i in range(201)} | {1000: 900, 900: 900, 950: 900}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_query_matches_sql(spark):
+    import duckdb
+
+    d = "/root/testdata/sf0.001"
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
+    assert sorted(tuple(r) for r in neardup.op9_near_duplicates(spark, d).collect()) == sorted(c.sql(neardup.OP9_SQL).fetchall())
