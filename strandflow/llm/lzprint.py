@@ -106,28 +106,36 @@ def marks(text: str, ends: Sequence[int], most: int = 1 << 19) -> np.ndarray:
         return out
     stop = np.array(ends, np.int64)
     start = np.concatenate([[0], stop[:-1]])
-    least, held = np.full(SLOTS, np.iinfo(U).max), np.zeros(SLOTS, bool)
-    a = 0
-    while a < len(stop):
-        b = max(a + 1, int(np.searchsorted(stop, start[a] + most, "right")))
-        base = int(start[a])
-        codes = code_points(text[base : int(stop[b - 1])]).astype(U) + U(1)
-        total = np.zeros(len(codes) + 1, U)
-        np.cumsum(codes * tb.powers(_BASE, len(codes)), out=total[1:])
-        s, e = start[a:b] - base, stop[a:b] - base
-        hashes = tb.mix((total[e] - total[s]) * tb.powers(_INVERSE, len(codes) + 1)[s] + (e - s).astype(U))
-        hashes.sort()
-        slot = (hashes >> U(58)).astype(np.int64)
-        first = np.ones(len(slot), bool)
-        first[1:] = slot[1:] != slot[:-1]
-        least[slot[first]] = np.minimum(least[slot[first]], hashes[first])
-        held[slot[first]] = True
-        a = b
+    if stop[-1] <= most:
+        slots, least = _least(text, start, stop, 0)
+    else:
+        every, held, a = np.full(SLOTS, np.iinfo(U).max), np.zeros(SLOTS, bool), 0
+        while a < len(stop):
+            b = max(a + 1, int(np.searchsorted(stop, start[a] + most, "right")))
+            slots, least = _least(text, start[a:b], stop[a:b], int(start[a]))
+            every[slots] = np.minimum(every[slots], least)
+            held[slots] = True
+            a = b
+        slots, least = np.flatnonzero(held), every[held]
     # the least of a slot is close to 0: its bits are mixed again so that all 16 count
-    out[held] = np.minimum((tb.mix(least[held]) >> U(48)).astype(np.uint16), EMPTY - 1)
+    out[slots] = np.minimum((tb.mix(least) >> U(48)).astype(np.uint16), EMPTY - 1)
     return out
 
 
+def _least(text: str, start: np.ndarray, stop: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """The slots that some phrases fall into, and the least hash of each."""
+    codes = code_points(text[base : int(stop[-1])]).astype(U) + U(1)
+    total = np.zeros(len(codes) + 1, U)
+    np.cumsum(codes * tb.powers(_BASE, len(codes)), out=total[1:])
+    s, e = start - base, stop - base
+    hashes = tb.mix((total[e] - total[s]) * tb.powers(_INVERSE, len(codes) + 1)[s] + (e - s).astype(U))
+    hashes.sort()
+    slot = (hashes >> U(58)).astype(np.int64)
+    first = np.ones(len(slot), bool)
+    first[1:] = slot[1:] != slot[:-1]
+    return slot[first], hashes[first]
+
+
 def fingerprint(text: str) -> str:
     return as_hex(marks(text, phrase_ends(text)))
 
