@@ -12,6 +12,8 @@ from strandflow.errors import NameCollision, QueryError, TypeProblem, UnknownNam
 from strandflow.types import SPARK_TYPES, kind
 
 SEQ, BATCH = "__seq_id", "__batch_id"
+#: Number of the first inserted row, above those of tables that are registered without one.
+FIRST = 1 << 62
 
 
 @dataclass(frozen=True)
@@ -92,6 +94,8 @@ class Catalog:
         self.spark = spark
         self.tables: dict[str, EventTable] = {}
         self.batches = 0
+        #: What the next inserted row is numbered; rows that a table was registered with have less.
+        self.rows = FIRST
 
     def __getitem__(self, name: str) -> EventTable:
         if name not in self.tables:
@@ -139,16 +143,30 @@ class Catalog:
             raise UnknownName(f"table {name} has no column {missing[0]}")
         kinds = dict(held.df.dtypes)
         rows = rows.select(*[F.col(f"`{c}`").cast(kinds[c]).alias(c) if c in rows.columns else F.lit(None).cast(kinds[c]).alias(c) for c in own])
+        # one pass over the rows tells how many each task reads and what may not be null; ids then
+        # follow those of the batches before without a gap
+        at = F.monotonically_increasing_id()
+        marked = rows.withColumn(SEQ, at)
+        roles = (held.entity, held.time, held.event)
+        read = marked.groupBy(F.shiftright(SEQ, 33).alias("task")).agg(F.count(F.lit(1)).alias("n"), *(F.max(F.col(f"`{c}`").isNull()).alias(f"null{i}") for i, c in enumerate(roles)))
+        tasks = sorted(read.collect())  # a row for each task that reads a part of the input
+        for i, role in enumerate(roles):
+            if any(t[2 + i] for t in tasks):
+                raise TypeProblem(f"{name}.{role} can't be null")
         self.batches += 1
+        total = sum(t.n for t in tasks)
         if SEQ in held.df.columns:
-            # a batch's ids begin above those of all batches before it
-            number = F.monotonically_increasing_id() + F.lit(self.batches).cast("long") * F.lit(1 << 52).cast("long")
-            rows = rows.withColumns({SEQ: number, BATCH: F.lit(self.batches).cast("long")})
-        for role in (held.entity, held.time, held.event):
-            if not rows.where(F.col(f"`{role}`").isNull()).isEmpty():
-                raise TypeProblem(f"{name}.{role} can't be null")
+            starts, start = [], self.rows
+            for t in tasks:
+                starts.append((t.task, start))
+                start += t.n
+            self.rows = start
+            offsets = F.broadcast(self.spark.createDataFrame(starts, "__task long, __start long"))
+            numbered = marked.withColumn("__task", F.shiftright(SEQ, 33)).join(offsets, "__task")
+            number = F.col("__start") + F.col(SEQ).bitwiseAND((1 << 33) - 1)
+            rows = numbered.withColumns({SEQ: number, BATCH: F.lit(self.batches).cast("long")}).select(*held.df.columns)
         self.tables[name] = replace(held, df=held.df.unionByName(rows))
-        return rows.count()
+        return total
 
     def add_column(self, name: str, column: str, type_: str, default: object = None, not_null: bool = False) -> None:
         held = self[name]

@@ -84,6 +84,8 @@ def attribute(
 ) -> DataFrame:
     """A row for each conversion and each touchpoint of its entity in the ``window`` nanoseconds before
     it (the start included, the conversion's own time not); one row with nulls where there is none.
+    Both sides are joined by entity and stretch of time, a window long; a touchpoint stands in its own
+    stretch and the next one, so an entity's touchpoints meet the conversions of their time only.
 
     Columns: the entity's, ``conversion_ts``, ``carry`` (output name: column of the conversion),
     ``touchpoint_ts``, ``touchpoint_key``. ``low`` and ``high`` bound the conversions.
@@ -95,8 +97,11 @@ def attribute(
     if high is not None:
         found = found.where(at <= high)
     found = found.select(_quoted(entity).alias("of"), at.alias("cm"), _quoted(time).alias("conversion_ts"), *(_quoted(c).alias(n) for n, c in (carry or {}).items()))
+    stretch = lambda c: F.expr(f"`{c}` - pmod(`{c}`, {max(1, window // 1000)})")
     touches = df.where(touchpoint).select(_quoted(entity).alias("by"), at.alias("tm"), _quoted(time).alias("touchpoint_ts"), key.alias("touchpoint_key"))
-    near = (F.col("of") == F.col("by")) & (F.col("tm") < F.col("cm")) & ((F.col("cm") - F.col("tm")) * 1000 <= window)
+    touches = touches.withColumn("tb", F.explode(F.array(stretch("tm"), stretch("tm") + max(1, window // 1000))))
+    found = found.withColumn("cb", stretch("cm"))
+    near = (F.col("of") == F.col("by")) & (F.col("cb") == F.col("tb")) & (F.col("tm") < F.col("cm")) & ((F.col("cm") - F.col("tm")) * 1000 <= window)
     return found.join(touches, near, "left").select(F.col("of").alias(entity), "conversion_ts", *(_quoted(n) for n in (carry or {})), "touchpoint_ts", "touchpoint_key")
 
 

@@ -189,7 +189,16 @@ text(
     """SELECT * FROM (VALUES ('event_id', 'INT', true, 'property'), ('ts', 'TIMESTAMP', false, 'event_time'), ('user_id', 'INT', false, 'entity_key'), ('event_type', 'STRING', false, 'event_type'),
        ('value', 'FLOAT', true, 'property'), ('props', 'STRING', true, 'property')) v(name, type, nullable, role)""",
 )
-text("s18_explain", "EXPLAIN events | WHERE value > 10 | STATS n = COUNT(*)", None)
+
+
+def explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a plan's lines, whether the filter and the columns reached the files."""
+    lines = engine(spark, sf_dir).query("EXPLAIN events | WHERE value > 10 | STATS n = COUNT(*)")
+    has = lambda text: F.max(F.col("plan").contains(text).cast("int")).alias
+    return lines.agg(has("GreaterThan(value,10.0)")("pushed"), has("ReadSchema: struct<value:double>")("narrow"), has("HashAggregate")("aggregated"), has("SinglePartition")("gathered"))
+
+
+built("s18_explain", explained, "SELECT 1 AS pushed, 1 AS narrow, 1 AS aggregated, 1 AS gathered")
 text(
     "s21_alias", "buyers = events | WHERE event_type = 'purchase' AND value > 90 | SELECT user_id\nevents | WHERE user_id IN buyers | STATS n = COUNT(*)",
     "SELECT count(*) AS n FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 90)",
@@ -349,6 +358,42 @@ text("m08_alternation", "events | MATCH FIRST SEQUENCE((signup OR click) THEN (p
      f"WITH {_C8}, m AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t2, t1, q1) AS r FROM c2 WHERE t2 - t1 <= INTERVAL 3 HOUR) SELECT count(*) AS n, sum({ns('t2', 't1')} // 1000000000)::BIGINT AS d FROM m WHERE r = 1")
 text("m09_one_or_more", "events | MATCH FIRST SEQUENCE(signup THEN view+ THEN purchase) WITHIN 12h", ORACLE_SQL["m02_within"])
 _C9 = _chain(_is("signup"), _is("purchase"))
+#: Runs of views that stand directly between a sign-up and a purchase, by the events of those types.
+text(
+    "m09_plus_immediately", "events | MATCH FIRST SEQUENCE(signup THEN IMMEDIATELY view+ THEN IMMEDIATELY purchase)",
+    f"""
+WITH e AS (SELECT user_id, ts, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE event_type IN ('signup', 'view', 'purchase')),
+c AS (SELECT a.user_id, a.ts AS first, b.ts AS last FROM e a JOIN e b ON a.user_id = b.user_id AND b.i > a.i + 1 AND a.event_type = 'signup' AND b.event_type = 'purchase'
+      WHERE (SELECT bool_and(x.event_type = 'view') FROM e x WHERE x.user_id = a.user_id AND x.i > a.i AND x.i < b.i)
+        AND (SELECT bool_and(y.ts > x.ts) FROM e x JOIN e y ON x.user_id = y.user_id AND y.i = x.i + 1 WHERE x.user_id = a.user_id AND x.i >= a.i AND x.i < b.i)),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY last, first) AS n FROM c)
+SELECT user_id AS entity_id, {ns('last', 'first')} AS match_duration FROM r WHERE n = 1""",
+)
+text(
+    "m09_star_without", "events | MATCH FIRST SEQUENCE(signup THEN IMMEDIATELY view* WITHOUT error THEN purchase) WITHIN 3d",
+    f"""
+WITH e AS (SELECT user_id, ts, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE event_type IN ('signup', 'view', 'error', 'purchase')),
+c AS (SELECT a.user_id, a.ts AS first, b.ts AS last FROM e a JOIN e b ON a.user_id = b.user_id AND b.ts > a.ts AND b.i > a.i AND a.event_type = 'signup' AND b.event_type = 'purchase' AND b.ts <= a.ts + INTERVAL 3 DAY
+      WHERE NOT EXISTS (SELECT 1 FROM e x WHERE x.user_id = a.user_id AND x.event_type = 'error' AND x.i > a.i AND x.i < b.i)),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY last, first) AS n FROM c)
+SELECT user_id AS entity_id, {ns('last', 'first')} AS match_duration FROM r WHERE n = 1""",
+)
+#: Completions one after another, found by a walk; a first event that an error shut off before the completion keeps its row.
+text(
+    "m06_emit_all_all_without", "events | MATCH ALL SEQUENCE(signup WITHOUT error THEN purchase) EMIT ALL | STATS n = COUNT(*), d = SUM(match_duration / 1000000000) GROUP BY entity_id, step_reached",
+    """
+WITH RECURSIVE e AS (SELECT user_id, ts, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE event_type IN ('signup', 'error', 'purchase')),
+a AS (SELECT a.user_id, a.i, a.ts, (SELECT min(x.i) FROM e x WHERE x.user_id = a.user_id AND x.i > a.i AND x.event_type = 'error') AS shut,
+      (SELECT min(b.i) FROM e b WHERE b.user_id = a.user_id AND b.i > a.i AND b.ts > a.ts AND b.event_type = 'purchase') AS goal FROM e a WHERE event_type = 'signup'),
+c AS (SELECT a.user_id, a.i, a.ts, a.goal, b.ts AS done FROM a JOIN e b ON b.user_id = a.user_id AND b.i = a.goal WHERE shut IS NULL OR shut > goal),
+k AS (SELECT user_id, min(struct_pack(goal := goal, i := i, ts := ts, done := done)) AS c FROM c GROUP BY user_id
+      UNION ALL SELECT k.user_id, (SELECT min(struct_pack(goal := c.goal, i := c.i, ts := c.ts, done := c.done)) FROM c WHERE c.user_id = k.user_id AND c.ts > k.c.done) FROM k WHERE k.c IS NOT NULL),
+kept AS (SELECT user_id, c.goal AS goal, c.ts AS ts, c.done AS done FROM k WHERE c IS NOT NULL),
+out AS (SELECT user_id, 2 AS step_reached, epoch_us(done) - epoch_us(ts) AS d FROM kept
+        UNION ALL SELECT a.user_id, 1, NULL FROM a WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.user_id = a.user_id AND c.i = a.i)
+          AND NOT EXISTS (SELECT 1 FROM kept t WHERE t.user_id = a.user_id AND t.done >= a.ts AND (a.shut IS NULL OR a.shut > t.goal)))
+SELECT user_id AS entity_id, step_reached::BIGINT AS step_reached, count(*) AS n, sum(d // 1000000)::BIGINT AS d FROM out GROUP BY 1, 2""",
+)
 text("m09_zero_or_more", "events | MATCH FIRST SEQUENCE(signup THEN view* THEN purchase) WITHIN 12h",
      f"WITH {_C9}, m AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t2, t1, q1) AS r FROM c2 WHERE t2 - t1 <= INTERVAL 12 HOUR) SELECT user_id AS entity_id, {ns('t2', 't1')} AS match_duration FROM m WHERE r = 1")
 _GAP = "NOT EXISTS (SELECT 1 FROM events x WHERE x.user_id = a.user_id AND x.event_type = '{x}' AND (x.ts, x.event_id) > ({p}.ts, {p}.event_id) AND (x.ts, x.event_id) <= ({n}.ts, {n}.event_id))"
@@ -438,8 +483,26 @@ text(
     "e06_last_touch", f"{_ATTRIBUTE} | LET rn = ROW_NUMBER() OVER (PARTITION BY conversion_ts ORDER BY touchpoint_ts DESC, touchpoint_key) | WHERE rn = 1 | STATS n = COUNT(*), revenue = SUM(purchase.value) GROUP BY touchpoint_key | SELECT touchpoint_key, n, ROUND(revenue, 4) AS revenue",
     f"WITH {_ATTR}, l AS (SELECT *, row_number() OVER (PARTITION BY user_id, ct ORDER BY tt DESC NULLS FIRST, k NULLS LAST) AS r FROM j) SELECT k AS touchpoint_key, count(*) AS n, round(sum(value), 4) AS revenue FROM l WHERE r = 1 GROUP BY k",
 )
-text("e07_sample", "events | SAMPLE(fraction: 0.3, seed: 42) | STATS n = COUNT(*), u = COUNT_DISTINCT(user_id)", None)
-text("e07_sample_seed", "events | SAMPLE(fraction: 0.3, seed: 7) | STATS n = COUNT(*), u = COUNT_DISTINCT(user_id)", None)
+
+
+def sampled_sql(fraction: float, seed: int) -> str:
+    """XXH64 of an eight-byte integer, step by step over 128-bit numbers."""
+    one, two, three, four, five = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+    wrap = lambda x: f"(({x}) % 18446744073709551616::UHUGEINT)"
+    times = lambda x, by: wrap(f"({x}) * {by}::UHUGEINT")
+    turned = lambda x, by: f"({times(x, 1 << by)} + ({x}) // {1 << (64 - by)}::UHUGEINT)"
+    either = lambda x, y: f"xor(({x})::UBIGINT, ({y})::UBIGINT)::UHUGEINT"
+    steps = [times("user_id::UHUGEINT", two), turned("h", 31), times("h", one), either("h", str((seed + five + 8) % (1 << 64))), turned("h", 27), wrap(f"{times('h', one)} + {four}::UHUGEINT")]
+    for shift, by in ((33, two), (29, three), (32, 1)):
+        steps += [either("h", f"h // {1 << shift}::UHUGEINT"), times("h", by)]
+    query = "SELECT DISTINCT user_id, 0::UHUGEINT AS h FROM events"
+    for step in steps:
+        query = f"SELECT user_id, {step} AS h FROM ({query})"
+    return f"SELECT count(*) AS n, count(DISTINCT user_id) AS u FROM events WHERE user_id IN (SELECT user_id FROM ({query}) WHERE h < {int(fraction * float((1 << 64) - 1))}::UHUGEINT)"
+
+
+text("e07_sample", "events | SAMPLE(fraction: 0.3, seed: 42) | STATS n = COUNT(*), u = COUNT_DISTINCT(user_id)", sampled_sql(0.3, 42))
+text("e07_sample_seed", "events | SAMPLE(fraction: 0.3, seed: 7) | STATS n = COUNT(*), u = COUNT_DISTINCT(user_id)", sampled_sql(0.3, 7))
 text("e07_sample_all", "events | SAMPLE(fraction: 1.0) | STATS n = COUNT(*)", "SELECT count(*) AS n FROM events")
 
 
