@@ -5,7 +5,9 @@ tuple of one load per shard, and repeatedly combines the two of the largest spre
 of one with the smallest of the other. It runs in two places: over the head (groups of at least
 1/``HEAD`` of a shard's share, so at most shards x HEAD of them) on the driver, and over the other groups
 in buckets of about ``BUCKET`` groups on the executors. A bucket starts with its share of the head's loads as a
-partial partition, so what the head leaves uneven is evened out by all buckets alike.
+partial partition, so what the head leaves uneven is evened out by all buckets alike. The shards stand in
+another order in each bucket, so that what buckets leave doesn't fall to the same shards, and one bucket comes
+last: it is differenced with the summed loads of all others.
 """
 
 from __future__ import annotations
@@ -137,13 +139,27 @@ def shard(docs: DataFrame, shards: int = 40, head: int = HEAD, bucket: int = BUC
     rest = float((total or 0) - large[c["group_bytes"]].sum()) if len(large) else float(total or 0)
     name, amount = c["shard_group"], c["group_bytes"]
 
-    def assign(found: pd.DataFrame) -> pd.DataFrame:
-        found = found.sort_values([amount, name], ascending=[False, True], key=lambda s: s.map(bytes) if s.name == name else s)
-        sizes = found[amount].to_numpy(float)
-        share = loads * (sizes.sum() / rest) if rest else loads
-        return pd.DataFrame({name: found[name], "shard": difference(sizes, shards, share)[0].astype("int32")})
+    def ordered(found: pd.DataFrame) -> pd.DataFrame:
+        return found.sort_values([amount, name], ascending=[False, True], key=lambda s: s.map(bytes) if s.name == name else s)
 
-    placed = written(small.groupBy(c["shard_bucket"]).applyInPandas(assign, kind).union(head_of), "placed")
+    def assign(at: tuple, found: pd.DataFrame) -> pd.DataFrame:
+        found = ordered(found)
+        sizes = found[amount].to_numpy(float)
+        turn = np.random.default_rng(int(at[0])).permutation(shards)
+        share = loads[turn] * (sizes.sum() / rest)
+        return pd.DataFrame({name: found[name], "shard": turn[difference(sizes, shards, share)[0]].astype("int32"), amount: found[amount]})
+
+    placed = head_of
+    if buckets > 1:
+        dealt = written(small.where(F.col(c["shard_bucket"]) > 0).groupBy(c["shard_bucket"]).applyInPandas(assign, f"{kind}, `{amount}` long"), "placed")
+        loads = loads.copy()
+        for row in dealt.groupBy("shard").agg(F.sum(amount).alias("n")).collect():  # at most one a shard
+            loads[row["shard"]] += row["n"]
+        placed = placed.union(dealt.drop(amount))
+    last = ordered(small.where(F.col(c["shard_bucket"]) == 0).drop(c["shard_bucket"]).toPandas())
+    if len(last):
+        of, _ = difference(last[amount].to_numpy(float), shards, loads)
+        placed = placed.union(spark.createDataFrame(pd.DataFrame({name: [bytes(x) for x in last[name]], "shard": of.astype("int32")}), kind))
     return ranked(written(rows.join(placed, c["shard_group"]).drop(c["shard_group"]), "sharded"), ["shard"], F.struct("doc_id", "size"), "slot", shards)
 
 

@@ -56,3 +56,20 @@ def test_odd_tables(docs_of, rows):
     assert len(found) == len(rows)
     for s in {r.shard for r in found}:
         assert sorted(r.slot for r in found if r.shard == s) == list(range(sum(r.shard == s for r in found)))
+
+
+def test_what_buckets_leave_does_not_add_up(docs_of):
+    rng = np.random.default_rng(5)
+    rows = [(i, f"{i} " + "w" * int(n)) for i, n in enumerate(rng.lognormal(6, 1, 6000).astype(int))]
+    found = shard(docs_of(rows), 8, bucket=200).collect()
+    check(found, 8, dict(rows))
+    loads = np.bincount([r.shard for r in found], [r["size"] for r in found], 8)
+    assert loads.max() - loads.min() <= 2
+
+
+def test_one_very_long_text(docs_of):
+    rows = [(0, "x" * 8_000_000)] + [(i, f"text {i}") for i in range(1, 400)]
+    found = shard(docs_of(rows), 4, bucket=100).collect()
+    check(found, 4, dict(rows))
+    alone = next(r.shard for r in found if r.doc_id == 0)
+    assert sum(r.shard == alone for r in found) == 1
