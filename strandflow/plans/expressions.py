@@ -13,9 +13,7 @@ from strandflow.functions.scalar import Registry, Typed, converted, unified
 from strandflow.language import nodes as n
 from strandflow.types import SPARK_TYPES, elapsed, kind, micros, rfc3339, shifted
 
-#: Accuracy of percentiles: ranks are right to 1 in so many, and exact for smaller groups.
-PERCENTILE_ACCURACY = 10_000
-PERCENTILES = {"P50": 0.5, "P90": 0.9, "P95": 0.95, "P99": 0.99}
+PERCENTILES = {"P50": 50, "P90": 90, "P95": 95, "P99": 99}
 
 
 @dataclass
@@ -228,10 +226,19 @@ class Binder:
             return Typed(F.sum(p.col), p.kind)
         if e.name == "AVG":
             return Typed(F.avg(p.col), "float")
-        if e.name in PERCENTILES:
-            return Typed(F.percentile_approx(F.when(~F.isnan(p.col), p.col) if p.kind == "float" else p.col.cast("double"), PERCENTILES[e.name], PERCENTILE_ACCURACY), "float")
         raise UnknownName(f"no aggregate {e.name}")
 
+    def ranked(self, e: n.Call) -> Typed:
+        """What a percentile is taken of."""
+        if e.star:
+            raise TypeProblem(f"{e.name} takes an expression")
+        if len(e.args) != 1:
+            raise TypeProblem(f"{e.name} takes 1 argument")
+        p = self.bind(e.args[0])
+        if p.kind not in ("int", "float", "null"):
+            raise TypeProblem(f"{e.name} takes a number, not {p.kind}")
+        return p
+
     def windowed(self, e: n.Call) -> Typed:
         s = self.scope
         part = [s.column(s.entity).col] if s.entity else []

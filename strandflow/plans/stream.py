@@ -15,7 +15,8 @@ from strandflow.functions.scalar import Registry, Typed
 from strandflow.language import nodes as n
 from strandflow.operators import entity as ops
 from strandflow.operators.match import PatternStep, match
-from strandflow.plans.expressions import Binder, Scope, binary, ordered, walk
+from strandflow.operators.percentiles import percentiles
+from strandflow.plans.expressions import PERCENTILES, Binder, Scope, binary, ordered, walk
 from strandflow.types import micros
 
 #: Cohorts of at most so many rows are sent to all tasks.
@@ -221,15 +222,25 @@ class Planner:
         for x in names:
             if names.count(x) > 1:
                 raise NameCollision(f"STATS gives two columns {x}")
-        keys, unfold = [], {}
+        keys, unfold = {}, {}
         for p, name in groups:
             if p.kind == "map":  # maps are grouped by their sorted entries
-                keys.append(F.array_sort(F.map_entries(p.col)).alias(name))
+                keys[name] = F.array_sort(F.map_entries(p.col))
                 unfold[name] = F.map_from_entries(F.col(f"`{name}`"))
             else:
-                keys.append(p.col.alias(name))
-        made = [binder.aggregate(call).col.alias(name) for name, call in stage.outputs]
-        df = s.df.groupBy(*keys).agg(*made) if keys else s.df.agg(*made)
+                keys[name] = p.col
+        made, percents = [], {}
+        for name, call in stage.outputs:
+            if call.name in PERCENTILES:
+                percents.setdefault(call.args, (binder.ranked(call), {}))[1][name] = PERCENTILES[call.name]
+            else:
+                made.append(binder.aggregate(call).col.alias(name))
+        parts = [percentiles(s.df, keys, p.col, wanted) for p, wanted in percents.values()]
+        if made or not parts:
+            parts.insert(0, s.df.groupBy(*(c.alias(name) for name, c in keys.items())).agg(*made))
+        df = _side_by_side(parts, list(keys))
+        if percents:
+            df = df.select(*(F.col(f"`{x}`") for x in names))
         return Stream(df.withColumns(unfold) if unfold else df, events=False)
 
     def stage_pivot(self, s: Stream, stage: n.Pivot, rest: tuple) -> Stream:
@@ -364,6 +375,17 @@ class Planner:
         return Stream(matched.df.groupBy("bracket").agg(F.avg((F.col("step_reached") >= 2).cast("long")).alias("retention_rate")), events=False)
 
 
+def _side_by_side(parts: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Tables with one row for each of the same groups as one table."""
+    df = parts[0]
+    for part in parts[1:]:
+        part, same = part.withColumnsRenamed({k: f"__of_{k}" for k in keys}), F.lit(True)
+        for k in keys:
+            same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"`__of_{k}`"))
+        df = df.join(part, same).drop(*(f"__of_{k}" for k in keys))
+    return df
+
+
 def conjuncts(e: n.Expr) -> list[n.Expr]:
     if isinstance(e, n.Binary) and e.op == "AND":
         return conjuncts(e.left) + conjuncts(e.right)
