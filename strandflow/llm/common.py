@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import math
 import pathlib
 import shutil
+import sys
 import tempfile
 import uuid
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +26,9 @@ _written: list[str] = []
 _shipped: set[str] = set()
 
 
+#: ``tidy`` collects the driver's garbage when more than one part in so many of its heap is used.
+HEAP_PARTS = 4
+
 #: Bytes of rows that go to a Python worker at once; the default is large for tables of long texts.
 BATCH_BYTES = 8 << 20
 
@@ -75,6 +82,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Gives back what finished steps leave in the driver: the free memory of its Python and, where
+    the JVM's heap is filling, garbage. Spark removes broadcasts and shuffle files of queries that are
+    gone only after the driver has collected its garbage; left to itself its heap grows first."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        trim(0)
+    jvm = spark.sparkContext._jvm
+    heap = jvm.java.lang.Runtime.getRuntime()
+    if HEAP_PARTS * (heap.totalMemory() - heap.freeMemory()) > heap.maxMemory():
+        jvm.System.gc()
+
+
 def release(spark: SparkSession) -> None:
     """Removes the tables that this process has written. Results that were made from them must have
     been collected or written by then."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import written
+from strandflow.llm.common import tidy, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -29,14 +29,15 @@ def _labelled(links: DataFrame) -> tuple[DataFrame, int]:
     rounds = 0
     while True:
         far = labels.join(labels.select(F.col("node").alias("label"), F.col("label").alias("far")), "label").select("node", "label", "far")
-        near = both.join(far.select(F.col("node").alias("b"), "far"), "b").groupBy(F.col("a").alias("node")).agg(F.min("far").alias("m"))
-        seen = far.join(near, "node")
+        near = both.join(far.select(F.col("node").alias("b"), "far"), "b").select(F.col("a").alias("node"), F.lit(None).cast("long").alias("label"), "far")
+        seen = far.union(near).groupBy("node").agg(F.max("label").alias("label"), F.min("far").alias("m"))
         told = F.array(
-            F.struct("node", F.least("far", "m").alias("value"), F.col("label").alias("was")),
+            F.struct("node", F.col("m").alias("value"), F.col("label").alias("was")),
             F.struct(F.col("label").alias("node"), F.col("m").alias("value"), F.lit(None).cast("long").alias("was")),
         )
         now = seen.select(F.explode(told).alias("t")).groupBy("t.node").agg(F.min("t.value").alias("value"), F.max("t.was").alias("was"))
         now = written(now.select("node", F.least("value", "was").alias("label"), "was"), "labels")
         labels, rounds = now.select("node", "label"), rounds + 1
+        tidy(links.sparkSession)
         if now.where("label <> was").isEmpty():
             return labels, rounds

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandflow.llm import textbatch as tb
-from strandflow.llm.common import extended, ship, table
+from strandflow.llm.common import extended, ship, table, tidy
 
 U = np.uint64
 WINDOW, STRIDE = 32, 24
@@ -300,7 +300,10 @@ def fitted(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Networ
     chosen = half(0).union(half(1))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_BYTES)
     found = texts.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").toPandas()
-    return train(list(found["text"]), found["toxic"].to_numpy().astype(int))
+    net = train(list(found["text"]), found["toxic"].to_numpy().astype(int))
+    del found
+    tidy(docs.sparkSession)
+    return net
 
 
 def score_column(docs: DataFrame, net: Network) -> DataFrame:

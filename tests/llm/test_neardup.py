@@ -1,11 +1,12 @@
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strandflow.llm import neardup
+from strandflow.llm import common, neardup
 from strandflow.llm import textbatch as tb
 from strandflow.llm.components import components
 from strandflow.llm.neardup import near_duplicates
@@ -178,6 +179,19 @@ def test_components_of_long_chains(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_leave_no_broadcasts_in_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(common, "HEAP_PARTS", 1 << 30, raising=False)  # the tests' heap is large
+    spark.sparkContext._jvm.System.gc()
+    memory = spark.sparkContext._jsc.sc().env().memoryManager()
+    time.sleep(2)
+    before = memory.storageMemoryUsed()
+    labels = components(spark.range(3000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+    end = time.time() + 20
+    while (left := memory.storageMemoryUsed() - before) > 3 << 20 and time.time() < end:
+        time.sleep(0.5)
+    assert left <= 3 << 20 and labels.where("label <> 0").isEmpty()
+
+
 def test_query_matches_sql(spark):
     import duckdb
 

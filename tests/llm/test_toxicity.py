@@ -1,4 +1,6 @@
+import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -92,6 +94,20 @@ def test_training_takes_windows_in_parts_and_no_very_long_text(docs_of, monkeypa
     assert np.allclose(net.logits(net.embedded(v), ids, begin, size, 7), net.forward(net.embedded(v), ids, begin, size), atol=1e-5)
 
 
+def test_training_gives_its_memory_back(spark, docs_of, monkeypatch):
+    anonymous = lambda: sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) >> 10
+    last = []
+
+    def train(found, y):
+        made = [bytes(50_000) for _ in range(4000)]  # 200 MB, below what stays
+        last.append(made[-1])
+
+    monkeypatch.setattr(tx, "train", train)
+    before = anonymous()
+    tx.fitted(docs_of([(1, "a"), (2, "b")]), spark.createDataFrame([(1, 1, 0), (2, 1, 1)], "doc_id long, quality int, toxic int"))
+    assert last and anonymous() - before < 100
+
+
 def test_windows_cover_all_words():
     for n in (0, 1, 31, 32, 33, 56, 57, 500):
         begin, size, row = tx.windows(np.array([n, 3]))
